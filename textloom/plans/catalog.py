@@ -1,0 +1,6 @@
+"""Every core query by name, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
