@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def run_lines(argv: list[str], lines: list[str]) -> list[str]:
@@ -22,7 +23,7 @@ def run_lines(argv: list[str], lines: list[str]) -> list[str]:
 
 def pipe_lines(df: DataFrame, argv: list[str], line: str = "line", out: str = "line") -> DataFrame:
     """``df`` with ``out`` from the program, started once for each Arrow batch. Null lines stay null."""
-    schema = df.schema if out == line else df.schema.add(out, "string")
+    schema = df.schema if out == line else StructType([*df.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
