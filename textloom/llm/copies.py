@@ -18,9 +18,14 @@ from textloom.session import scratch_dir, table
 HOT_SHARE = 0.001
 
 
+def fold_case(c: Column) -> Column:
+    """Lower case in which sharp s and final sigma are like their upper case. (Catalyst drops an inner ``upper``.)"""
+    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
 def canonical_text(c: Column) -> Column:
-    """Lower-case words of ``c``, one space between them. Upper-casing first folds letters such as sharp s."""
-    return F.btrim(F.regexp_replace(F.lower(F.upper(c)), r"[^\p{L}\p{N}\p{M}]+", " "))
+    """Words of ``c`` without their case, one space between them."""
+    return F.btrim(F.regexp_replace(fold_case(c), r"[^\p{L}\p{N}\p{M}]+", " "))
 
 
 def record_key(line: str = "line", delim: str = "delim", key: str = "key") -> Column:
@@ -33,7 +38,7 @@ def record_key(line: str = "line", delim: str = "delim", key: str = "key") -> Co
     fields = F.when(
         F.coalesce(F.col(delim), F.lit("")) == "", F.translate(F.col(line), sep, " ")
     ).otherwise(F.expr(f"replace(translate(`{line}`, '{sep}', ' '), `{delim}`, '{sep}')"))
-    flat = F.regexp_replace(F.lower(F.upper(fields)), rf"[^\p{{L}}\p{{N}}\p{{M}}{sep}]+", " ")
+    flat = F.regexp_replace(fold_case(fields), rf"[^\p{{L}}\p{{N}}\p{{M}}{sep}]+", " ")
     flat = F.regexp_replace(flat, f" *{sep} *", sep)
     line_part = F.array_join(F.array_sort(F.split(F.btrim(flat), sep, -1)), sep)
     entries = F.array_sort(F.transform(F.col(key), lambda x: F.coalesce(canonical_text(x), F.lit("\u001e"))))
