@@ -50,18 +50,32 @@ def cut_pattern(width: Column, delimiters: Column, overlap: Column) -> Column:
     )
 
 
-def with_pieces(df: DataFrame) -> DataFrame:
-    """``df`` of ``fold_items`` with ``pieces array<struct<piece,new_bytes,forced>>``, for lines longer than their width; null for others.
+def with_pattern(df: DataFrame) -> DataFrame:
+    """``df`` of ``fold_items`` with the width and overlap that hold, and for lines over their width the bytes and the
+    pattern, else null.
 
     Null width, delimiters and overlap mean 80 bytes, the six default delimiters and no overlap; a width below 1 counts
-    as 1, a negative overlap as none, and an overlap leaves at least one character of progress. A single character
-    longer than the width is one piece. Pieces without their overlaps join to the line.
+    as 1, a negative overlap as none, and an overlap leaves at least one character of progress.
     """
     width = F.greatest(F.coalesce(F.col("column_width").cast("int"), F.lit(WIDTH)), F.lit(1))
     delims = F.coalesce(F.col("delimiters"), F.lit(DELIMITERS))
     over = F.greatest(F.least(F.coalesce(F.col("overlap").cast("int"), F.lit(0)), width - LEAST_STEP), F.lit(0))
     df = df.withColumn("_w", width).withColumn("_o", over).withColumn("_long", F.octet_length("line") > width)
-    df = df.withColumn("_b", F.when(F.col("_long"), as_bytes(F.col("line")))).withColumn("_p", F.when(F.col("_long"), cut_pattern(F.col("_w"), delims, F.col("_o"))))
+    return df.withColumn("_b", F.when(F.col("_long"), as_bytes(F.col("line")))).withColumn("_p", F.when(F.col("_long"), cut_pattern(F.col("_w"), delims, F.col("_o"))))
+
+
+def forced_cuts(df: DataFrame) -> DataFrame:
+    """``df`` with ``forced array<string>``: for each new part its text if it ends by force, else ''. One pass of the pattern."""
+    df = with_pattern(df).withColumn("forced", F.regexp_extract_all("_b", F.col("_p"), F.lit(3)))
+    return df.drop("_w", "_o", "_long", "_b", "_p")
+
+
+def with_pieces(df: DataFrame) -> DataFrame:
+    """``df`` of ``fold_items`` with ``pieces array<struct<piece,new_bytes,forced>>``, for lines longer than their width; null for others.
+
+    A single character longer than the width is one piece. Pieces without their overlaps join to the line.
+    """
+    df = with_pattern(df)
     df = df.withColumn("_new", F.regexp_extract_all("_b", F.col("_p"), F.lit(0))).withColumn("_forced", F.regexp_extract_all("_b", F.col("_p"), F.lit(3)))
     ends = F.aggregate(
         "_new",
@@ -73,8 +87,7 @@ def with_pieces(df: DataFrame) -> DataFrame:
     def piece(x: Column, i: Column) -> Column:
         at = F.get("_ends", i)
         back = F.when(i == 0, 0).otherwise(F.greatest(F.least(F.col("_o"), F.col("_w") - F.length(x), at), F.lit(0)))
-        raw = F.substring(F.col("_b"), at - back + 1, back + F.length(x))
-        head = F.regexp_replace(F.substring(raw, F.lit(1), back), r"^[\x80-\xBF]+", "")
+        head = F.when(back == 0, "").otherwise(F.regexp_replace(F.substring(F.col("_b"), at - back + 1, back), r"^[\x80-\xBF]+", ""))
         return F.struct(
             from_bytes(F.concat(head, x)).alias("piece"),
             F.length(x).alias("new_bytes"),
@@ -86,8 +99,8 @@ def with_pieces(df: DataFrame) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items over their limit, and whether a stretch between delimiters forced a cut by characters."""
-    df = with_pieces(table(spark, sf_dir, "fold_items")).where("pieces is not null")
-    return df.select("item_id", F.when(F.exists("pieces", lambda p: p["forced"]), "forced").otherwise("natural").alias("kind"))
+    df = forced_cuts(table(spark, sf_dir, "fold_items")).where("forced is not null")
+    return df.select("item_id", F.when(F.exists("forced", lambda p: p != ""), "forced").otherwise("natural").alias("kind"))
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
