@@ -160,21 +160,25 @@ def rewrite(text: str, a: ahocorasick.Automaton, most: int = 5) -> str:
     return text
 
 
-@lru_cache(maxsize=4)
-def _members(flatten: bool) -> ahocorasick.Automaton:
-    return automaton({m: m for ms in classes(flatten).values() for m in ms})
-
-
 def member_counts(texts: DataFrame, flatten: bool) -> Counter:
-    """How often each class member occurs in ``texts(text)``, over all rows; at most one entry for each member."""
+    """How often each class member occurs in ``texts(text)``, over all rows; at most one entry for each member.
+
+    Single characters are counted wherever they stand, strings of several by the automaton.
+    """
+    members = {m for ms in classes(flatten).values() for m in ms}
+    held = texts.sparkSession.sparkContext.broadcast((frozenset(m for m in members if len(m) == 1), sorted(m for m in members if len(m) > 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _members(flatten)
+        single, several = held.value
+        a = automaton({m: m for m in several})
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    seen.update(m for _, (_, m) in a.iter_long(t))
+                    seen.update(t)
+                    if not t.isascii() or flatten:
+                        seen.update([m for _, (_, m) in a.iter_long(t)])
+        seen = Counter({m: n for m, n in seen.items() if len(m) > 1 or m in single})
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["member", "n"])
 
     rows = texts.mapInArrow(run, "member string, n long").groupBy("member").agg(F.sum("n").alias("n")).collect()
