@@ -176,8 +176,7 @@ def member_counts(texts: DataFrame, flatten: bool) -> Counter:
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(t)
-                    if not t.isascii() or flatten:
-                        seen.update([m for _, (_, m) in a.iter_long(t)])
+                    seen.update([m for _, (_, m) in a.iter_long(t)])
         seen = Counter({m: n for m, n in seen.items() if len(m) > 1 or m in single})
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["member", "n"])
 
@@ -186,10 +185,10 @@ def member_counts(texts: DataFrame, flatten: bool) -> Counter:
 
 
 def representatives(counts: Counter, flatten: bool) -> dict[str, str]:
-    """Each member's representative: the most frequent of its class, then the shortest, then the first by code point."""
+    """Each member's representative: the most frequent of its class, then plain ASCII, then the shortest and first."""
     out: dict[str, str] = {}
     for ms in classes(flatten).values():
-        best = "" if "" in ms else min(ms, key=lambda m: (-counts[m], len(m), m))
+        best = "" if "" in ms else min(ms, key=lambda m: (-counts[m], not m.isascii(), len(m), m))
         out.update((m, best) for m in ms if m != best)
     return out
 
@@ -197,6 +196,14 @@ def representatives(counts: Counter, flatten: bool) -> dict[str, str]:
 _BUILT: dict = {}
 
 
+def triggers(words: dict[str, str]) -> frozenset[str]:
+    """Characters of which every member that changes holds one: its last one beyond ASCII, or else its first.
+
+    A text without any of them stays as it is.
+    """
+    return frozenset(next((c for c in reversed(w) if not c.isascii()), w[0]) for w in words if w)
+
+
 def canonical(col: Column, reps: dict[str, str], spark: SparkSession) -> Column:
     """Column of rewritten texts; null stays null, an empty text empty."""
     held = spark.sparkContext.broadcast(reps)
@@ -206,9 +213,9 @@ def canonical(col: Column, reps: dict[str, str], spark: SparkSession) -> Column:
         key = id(held.value)
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = (automaton(held.value), held.value)
-        a = _BUILT[key][0]
-        return pa.array([None if t is None else rewrite(t, a) for t in texts.to_pylist()], pa.string())
+            _BUILT[key] = (automaton(held.value), triggers(held.value), held.value)
+        a, trigger, _ = _BUILT[key]
+        return pa.array([t if t is None or trigger.isdisjoint(t) else rewrite(t, a) for t in texts.to_pylist()], pa.string())
 
     return form(col)
 
