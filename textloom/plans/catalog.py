@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import rules, truecase
 from textloom.functions.hashing import corpus_hash, murmur64_column
 from textloom.functions.splitter import split_text
-from textloom.functions.tokenizer import detokenize_lines, tokenize
+from textloom.functions.tokenizer import detokenize_lines, tokenize, tokenize_sql
 from textloom.functions.unicode import process_unicode, unescape_html
 from textloom.operators import clean, dedupe, docs64, fold, pipe, shard, stats
 from textloom.operators.fields import selected_fields
@@ -295,7 +295,7 @@ def html_unescaped(spark, d):
 # --- linguistic operators ---------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"SELECT pair_id, {tokenize_sql('line0', 'en')} AS line0, {tokenize_sql('line1', 'fr')} AS line1 FROM parallel_lines")
 def tokenized(spark, d):
     return pairs(spark, d).select("pair_id", tokenize(F.col("line0"), "en").alias("line0"), tokenize(F.col("line1"), "fr").alias("line1"))
 
@@ -337,7 +337,10 @@ def train_case(spark, d):
     return truecase.train_case(aligned(spark, d))
 
 
-@query()
+@query("""WITH a AS (SELECT pair_id AS sent, string_split(line0, ' ') AS s, string_split(line1, ' ') AS t FROM parallel_lines WHERE line0 IS NOT NULL AND line1 IS NOT NULL),
+w AS (SELECT sent, j, t[j] AS word, CASE WHEN j <= len(s) THEN s[j] END AS source FROM (SELECT sent, s, t, unnest(range(1, len(t) + 1)) AS j FROM a)),
+b AS (SELECT source, lower(word) AS low, word AS form, row_number() OVER (PARTITION BY source, lower(word) ORDER BY count(*) DESC, word) AS rn FROM w WHERE j > 1 AND source IS NOT NULL GROUP BY source, word)
+SELECT sent, string_agg(coalesce(b.form, word), ' ' ORDER BY j) AS text FROM w LEFT JOIN b ON b.source = w.source AND b.low = lower(w.word) AND rn = 1 GROUP BY sent""")
 def apply_case(spark, d):
     df = aligned(spark, d)
     return truecase.apply_case(df, truecase.train_case(df))
