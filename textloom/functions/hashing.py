@@ -50,13 +50,12 @@ def chained_murmur64(ranges: Column, seed: int = 0) -> Column:
 
     @F.pandas_udf("long")
     def run(s: pd.Series) -> pd.Series:
-        out = []
-        for parts in s:
-            h = seed
-            for p in parts if parts is not None else []:
-                h = int(murmur64([p.encode("utf-8")], h)[0])
-            out.append(None if parts is None else h - (1 << 64) if h >= 1 << 63 else h)
-        return pd.Series(out, dtype="Int64")
+        rows = [list(x) if x is not None else [] for x in s]
+        h = np.full(len(rows), seed, dtype=np.uint64)
+        for k in range(max(map(len, rows), default=0)):  # the k-th element of all rows at once
+            on = np.array([i for i, r in enumerate(rows) if len(r) > k], dtype=np.int64)
+            h[on] = murmur64([rows[i][k].encode("utf-8") for i in on], h[on])
+        return pd.Series(h.view(np.int64)).astype("Int64").mask(s.isna().to_numpy())
 
     return run(ranges)
 
