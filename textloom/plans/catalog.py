@@ -13,7 +13,7 @@ from textloom.functions.unicode import process_unicode, unescape_html
 from textloom.operators import clean, dedupe, docs64, fold, pipe, shard, stats
 from textloom.operators.fields import selected_fields
 from textloom.plans.pipelines import newswire_extract, resplit, text_pipeline
-from textloom.session import scratch_dir, table
+from textloom.session import scratch_dir, spread, table
 from textloom.sources import newswire, warc
 from textloom.streaming import streams
 
@@ -36,11 +36,11 @@ def crawl(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "parallel_lines").select("pair_id", "line0", "line1")
+    return spread(table(spark, d, "parallel_lines").select("pair_id", "line0", "line1"))
 
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
 # --- deduplication, sets, keyed state ---------------------------------------------------------------------------
