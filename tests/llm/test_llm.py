@@ -322,6 +322,25 @@ def test_truncation(spark):
     assert math.isfinite(truncation.censored_fit(0, 0, 0, 5, 100)[0])
 
 
+def test_rarely_reached_limit(spark):
+    rng, most = random.Random(11), 700
+    rows, cut = [], set()
+    for i in range(most):
+        town = rng.choice(["Wesel", "Köln", "Düren"])
+        text = " ".join(f"The council of {town} kept the {'very ' * rng.randint(0, 9)}old {'x' * rng.randint(1, 9)} index." for _ in range(max(1, round(math.exp(rng.gauss(1.35, 0.6))))))
+        if len(text) > 1000:
+            text = text[:999].rstrip(". ") + "…"
+            text = text + "…" * (1000 - len(text))
+            cut.add(i)
+        rows.append((i, "crawl", text))
+    rows += [(most + i, "crawl", "Copies of one text have the same length by their nature, which is no limit of any kind, so") for i in range(30)]
+    assert 5 < len(cut) < 0.02 * most
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert [(r.unit, r.size) for r in truncation.limits(truncation.with_endings(df)).collect()] == [("n", 1000)]
+    got = {r.doc_id for r in truncation.judged(df).where("cut").collect()}
+    assert cut <= got and not got & ({*range(most)} - cut)
+
+
 # --- the queries ------------------------------------------------------------------------------------------------
 
 COLUMNS = {

@@ -1,6 +1,7 @@
 """Problem 8: texts cut off by field limits or in mid-transfer.
 
-For each source, lengths (in characters and in bytes) that are too frequent are candidate limits. A log-normal length
+For each source, lengths (in characters and in bytes) more frequent than their neighbours are candidate limits, however
+few texts reach them. A log-normal length
 distribution is fitted to the source by maximum likelihood, with the values at the limit right-censored, and gives
 each value at the limit its posterior of having been longer. That is combined with the evidence of the text's ending,
 whose likelihood among cut texts is learnt from the values that were censored for certain.
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from textloom.session import settle, table
 
-#: A length is a candidate limit from so many values and this share of its source's values.
-LEAST_AT_LIMIT, LEAST_SHARE = 8, 0.02
+#: A length is a candidate limit if chance gives so frequent a length to fewer than this many lengths of its source.
+CHANCE = 0.001
+#: Lengths whose logarithm times this has the same whole part are neighbours, and those of the next parts below and above.
+NEIGHBOURS = 10
 #: A last line's shape is a closing line from this share of all documents (so at most its inverse many shapes).
 CLOSING_SHARE = 0.0015
 #: A word with a full stop is an abbreviation if less than this share of its occurrences end a line.
@@ -83,7 +86,7 @@ def with_endings(df: DataFrame) -> DataFrame:
         .when(title & plain, "headline")
         .otherwise("open")
     )
-    return df.select("doc_id", "source", ending.alias("ending"), F.length("text").cast("long").alias("n"), F.octet_length("text").cast("long").alias("b"))
+    return df.select("doc_id", "source", ending.alias("ending"), F.length("text").cast("long").alias("n"), F.octet_length("text").cast("long").alias("b"), F.xxhash64("text").alias("h"))
 
 
 def censored_fit(n: float, s1: float, s2: float, at: float, limit: float, steps: int = 60) -> tuple[float, float]:
@@ -103,18 +106,57 @@ def censored_fit(n: float, s1: float, s2: float, at: float, limit: float, steps:
     return mu, sd
 
 
+def _by_unit(df: DataFrame) -> DataFrame:
+    units = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in ("n", "b"))))
+    return df.select("source", "k", "texts", units.alias("x")).select("source", "x.*", "k", "texts")
+
+
+def _surprising(k: Column) -> Column:
+    """Whether ``k`` different texts of one length are beyond chance among ``span`` lengths with ``usual`` each (Chernoff
+    bound of the Poisson tail, with all counts divided by ``clumps``, the texts that come at once)."""
+    return (k > F.col("usual")) & (k * F.log(k / F.col("usual")) - k + F.col("usual") > F.col("clumps") * F.log(F.col("span") / F.lit(CHANCE)))
+
+
+def candidates(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(source, unit, size)`` of the lengths that hold more different texts than their neighbours let expect.
+
+    A text whose length is a candidate in both units, or is within three bytes of several, speaks for the one with the
+    greatest excess only: texts cut at 480 characters pile up at a few lengths in bytes too. Where the neighbours' texts
+    share lengths more than chance lets them, as forms do, a candidate must stand out from that.
+    """
+    part = F.floor(F.log("size") * NEIGHBOURS)
+    long = sizes.where("size > 20").withColumn("part", part)
+    parts = long.groupBy("source", "unit", "part").agg(F.sum("texts").alias("texts"), F.sum(F.col("texts") * (F.col("texts") - 1)).alias("twice"))
+    around = parts.select("source", "unit", "texts", "twice", F.explode(F.array(*(F.col("part") + d for d in (-1, 0, 1)))).alias("part"))
+    around = around.groupBy("source", "unit", "part").agg(F.sum("texts").alias("around"), F.sum("twice").alias("twice"))
+    spans = long.groupBy("source", "unit").agg((F.max("size") - F.min("size") + 1).alias("span"))
+    width = F.ceil(F.exp((F.col("part") + 2) / NEIGHBOURS)) - F.ceil(F.exp((F.col("part") - 1) / NEIGHBOURS)) - 1
+    first = long.join(around, ["source", "unit", "part"]).join(spans, ["source", "unit"])
+    first = first.withColumn("usual", (F.col("around") - F.col("texts") + 1) / F.greatest(width, F.lit(1)))
+    shared = (F.col("twice") - F.col("texts") * (F.col("texts") - 1)) / F.greatest(F.col("around") - F.col("texts"), F.lit(1))
+    first = first.withColumn("clumps", F.greatest(F.lit(1.0), 1 + shared - F.col("usual")))
+    first = first.where(_surprising(F.col("texts"))).select("source", "unit", "size", "usual", "span", "clumps", (F.col("texts") - F.col("usual")).alias("excess"))
+    first = settle(first, "candidates")
+    by_n = first.where("unit = 'n'").select("source", F.col("size").alias("n"), F.struct("excess", "unit", "size").alias("cn"))
+    by_b = first.where("unit = 'b'").select("source", F.explode(F.sequence(F.col("size") - 3, F.col("size") + 3)).alias("b"), F.struct("excess", "unit", "size").alias("c"))
+    by_b = by_b.groupBy("source", "b").agg(F.max("c").alias("cb"))
+    own = pairs.join(by_n, ["source", "n"], "left").join(by_b, ["source", "b"], "left").where("cn is not null or cb is not null")
+    own = own.select("source", "n", "b", "texts", F.greatest("cn", "cb").alias("c")).where(F.when(F.col("c.unit") == "n", F.col("n")).otherwise(F.col("b")) == F.col("c.size"))
+    own = own.groupBy("source", F.col("c.unit").alias("unit"), F.col("c.size").alias("size")).agg(F.sum("texts").alias("own"))
+    return first.join(own, ["source", "unit", "size"]).where(_surprising(F.col("own"))).select("source", "unit", "size")
+
+
 def limits(docs: DataFrame) -> DataFrame:
     """Candidate limits with their posterior: ``(source, unit, size, posterior)``.
 
-    ``docs`` has ``source, n, b``. At most 1 / LEAST_SHARE limits for each source and unit. In bytes, values up to
-    three bytes around count as at the limit, for a character cut in two or replaced.
+    ``docs`` has ``source, n, b`` and the text's hash ``h``. Copies of a text count once for its length to be a candidate.
+    In bytes, values up to three bytes around count as at the limit, for a character cut in two or replaced.
     """
-    long = docs.select("source", F.explode(F.array(F.struct(F.lit("n").alias("unit"), F.col("n").alias("size")), F.struct(F.lit("b").alias("unit"), F.col("b").alias("size")))).alias("x")).select("source", "x.*")
-    sizes = long.groupBy("source", "unit", "size").agg(F.count("*").alias("at"))
-    sizes = settle(sizes, "sizes")
+    texts = docs.groupBy("source", "n", "b", "h").agg(F.count("*").alias("k"))
+    pairs = settle(texts.groupBy("source", "n", "b").agg(F.sum("k").alias("k"), F.count("*").alias("texts")), "lengths")
+    sizes = settle(_by_unit(pairs).groupBy("source", "unit", "size").agg(F.sum("k").alias("at"), F.sum("texts").alias("texts")), "sizes")
     whole = sizes.groupBy("source", "unit").agg(F.sum("at").alias("total"))
-    cand = sizes.join(whole, ["source", "unit"]).where((F.col("at") >= LEAST_AT_LIMIT) & (F.col("at") >= LEAST_SHARE * F.col("total")) & (F.col("size") > 20))
-    cand = cand.select("source", "unit", "total", F.col("size").alias("size"))
+    cand = candidates(pairs, sizes).join(whole, ["source", "unit"])
     near = F.when(F.col("unit") == "b", 3).otherwise(0)
     other = sizes.select("source", "unit", F.col("size").alias("x"), F.col("at").alias("k"))
     lx = F.log(F.greatest("x", F.lit(1)))
