@@ -287,6 +287,18 @@ def test_leaks_against_brute_force(spark, monkeypatch, bound):
     assert any(r.substitutions == 1 for r in got.values())
 
 
+def test_leaks_with_a_word_exchanged_anywhere(spark):
+    words = [f"w{k}" for k in range(13)]
+    docs, want = [], {}
+    for n in (12, 13):
+        for k in range(1, n - 1):
+            want[100 * n + k] = n
+            docs.append((100 * n + k, " ".join(["before", *words[:k], "other", *words[k + 1 : n], "after"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {r.doc_id: r.words for r in leaks.overlaps(df, items).collect()} == want
+
+
 # --- truncation -------------------------------------------------------------------------------------------------
 
 
