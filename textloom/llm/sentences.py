@@ -17,17 +17,23 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.sample import sampled
 from textloom.session import table
 
-#: Bound of the training sample, in lines.
-TRAIN_LINES = 12_000
+Model = tuple[np.ndarray, float]
+
+#: Bounds of the training sample, in lines and in characters.
+TRAIN_LINES, TRAIN_CHARS = 12_000, 8_000_000
 DIM = 1 << 18
 #: Cross-fitting folds, rounds of labelling, rows a feature needs (fewer in small samples), and the shares from which a
 #: candidate counts as a boundary after the first and after later rounds.
-FOLDS, ROUNDS, LEAST_SEEN, FIRST, NEXT = 3, 6, 20, 0.07, 0.3
+FOLDS, ROUNDS, LEAST_SEEN, FIRST, NEXT = 3, 6, 20, 0.07, 0.1
+#: Steps of a fit from zero, and of one that goes on from the round before.
+FIRST_STEPS, LATER_STEPS = 100, 30
 
 # Sentence-final marks, closing marks, and pairs of quotation marks and brackets.
 ENDERS = ".!?\u2026\u3002\uff0e\uff01\uff1f\uff61\u0964\u0965\u061f\u06d4\u0589;\u037e"
@@ -40,7 +46,7 @@ _CAND = re.compile(
     rf"[{re.escape(ENDERS)}]+(?:[{re.escape(CLOSERS)}]|[{_THIN}](?=»))*"
     r"|(?<=[\u0e00-\u0e7f])(?=\s)"
 )
-_SPACE = re.compile(r"\s+")
+_QUOTES = re.compile(r'[“”„«»‹›「」『』()（）\[\]【】《》〈〉"]')
 _DIGITS = re.compile(r"\d+")
 
 
@@ -59,9 +65,8 @@ def quoted_spans(line: str) -> list[tuple[int, int]]:
     """``[open, close]`` positions of matched quotation marks and brackets; a mark without its partner is ignored."""
     out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
-    for i, ch in enumerate(line):
-        if ch not in '“”„«»‹›「」『』()（）[]【】《》〈〉"':
-            continue
+    for m in _QUOTES.finditer(line):
+        i, ch = m.start(), m.group()
         at = next((k for k in range(len(stack) - 1, -1, -1) if ch in (PAIRS.get(stack[k][0], "") if stack[k][0] != '"' else '"')), None)
         if at is not None and not (ch == "»" and stack[at][0] == "”"):
             out.append((stack[at][1], i))
@@ -133,101 +138,144 @@ def _kind(tok: str) -> str:
     return c
 
 
-def _clip(tok: str) -> str:
-    return _DIGITS.sub("0", tok.lower())[:24]
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
+@lru_cache(maxsize=1 << 16)
+def _clip(tok: str, most: int) -> str:
+    return _DIGITS.sub("0", tok.lower())[:most]
+
+
+@lru_cache(maxsize=1 << 16)
+def _left_token(tok: str) -> tuple[int, int, int, str]:
+    """Of the token before a boundary: its hash, hashes of its length and dots and of its kind, and its last character if a digit."""
+    clip = _clip(tok.lstrip("“„«\"'("), 24)
+    core = clip.rstrip(".")
+    return _hash(clip), _hash(f"{min(len(core), 6)}{'.' in core}"), _hash(f"{_kind(tok)}{core.isalpha()}"), core[-1:] if core[-1:].isdigit() else ""
+
+
+@lru_cache(maxsize=1 << 16)
+def _right_token(tok: str) -> tuple[int, int, int, str]:
+    """Of the token after a boundary: its hash, hashes of its kind and of kind and length, and its script."""
+    bare = tok.lstrip("“„«\"'(¿¡「『（")
+    kind = _kind(bare if bare else tok)
+    return _hash(_clip(tok, 16)), _hash(kind + ("o" if bare != tok else "")), _hash(f"{kind}{min(len(bare), 5)}{'.' in bare}"), script(bare[:1])
+
+
+@lru_cache(maxsize=1 << 16)
+def _token(tok: str) -> int:
+    return _hash(_clip(tok, 24))
+
+
+@lru_cache(maxsize=1 << 12)
+def _small(text: str) -> int:
+    return _hash(text)
+
+
+_UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "THAI")
+
+#: What is observed at a boundary, in the order of a row of ``observed``.
+_OBSERVED = ("mark", "quote", "script", "context", "t1", "t2", "size", "form", "spaced", "digit", "left2", "left4", "left7", "r1", "r2", "r3", "kind", "length", "right1", "right2", "right3", "right5")
+#: Features: the observations that each combines, all of them hashed together with the feature's number.
+FEATURES = (
+    ("mark", "quote", "script"), ("script", "mark", "context"), ("mark", "t1"), ("mark", "t1", "t2"), ("mark", "script", "size", "spaced"), ("mark", "form"),
+    ("mark", "script", "digit", "t2"), ("left2", "mark"), ("left4", "mark"), ("left7", "mark"),
+    ("r1",), ("kind", "script", "mark", "quote", "context"), ("r1", "r2"), ("length",), ("right1",), ("right2",), ("right3",), ("right5",),
+    ("right3", "script", "mark", "quote", "context"), ("r1", "script", "mark", "quote", "context"), ("r1", "r2", "r3", "script", "mark", "quote", "context"), ("mark", "t1", "kind"),
+)
+#: Features of writing without spaces, which stand only where an observation of that kind does.
+_ONLY_IF_SEEN = {"left2", "left4", "left7", "right1", "right2", "right3", "right5"}
 
 
-def left_features(line: str, start: int, end: int, closed: int) -> tuple[list[str], str]:
-    """Features of what stands before a boundary, and the script there."""
+def observed(line: str, start: int, end: int, closed: int, right_line: str | None = None) -> list[int]:
+    """Numbers of what stands at a boundary, in the order of ``_OBSERVED``; 0 for what does not apply.
+
+    The right side may come from another line (a reliable boundary): then ``right_line`` is all that follows.
+    """
     before = line[max(0, start - 60) : start]
-    toks = before.split()
-    t1 = toks[-1] if toks else ""
-    spaced = before[-1:].isspace()
-    t1c, t2c = _clip(t1.lstrip("“„«\"'(")), _clip(toks[-2]) if len(toks) > 1 else "^"
+    toks = before.rsplit(None, 2)
+    h1, size, form, digit = _left_token(toks[-1] if toks else "")
+    h2 = _token(toks[-2]) if len(toks) > 1 else 1
     sc = script(_last_letter(line, start)) or "none"
-    mark = line[start : start + 3] if end > start else "space"
-    mark = "..." if mark == "..." else mark[:1] if mark != "space" else "space"
+    mark = "space" if end == start else "..." if line.startswith("...", start) else line[start]
     quote = "q" if closed >= 0 else ("c" if end - start > 1 and line[end - 1] in CLOSERS else "-")
     ctx = "-"
     if closed >= 0:
         pre = line[:closed].rstrip()
         ctx = line[closed] + ("^" if not pre else ("end" if pre[-1] in ENDERS + CLOSERS else pre[-1] if not pre[-1].isalnum() else "w"))
-    core = t1c.rstrip(".")
-    out = [
-        f"m{mark}{quote}{sc}",
-        f"x{sc}{mark}{ctx}",
-        f"t{mark}{t1c}",
-        f"u{mark}{t1c}|{t2c}",
-        f"l{mark}{sc}{min(len(core), 6)}{'.' in core}{'s' if spaced else ''}",
-        f"k{mark}{_kind(t1)}{core.isalpha()}",
-        f"d{mark}{sc}{core[-1:].isdigit()}|{t2c if core[-1:].isdigit() else ''}",
-    ]
-    if sc in ("CJK", "HIRAGANA", "KATAKANA", "THAI", "none"):
-        out += [f"e{n}{mark}{before[-n:]}" for n in (2, 4, 7)]
-    return out, f"{sc}|{mark}|{quote}{ctx}"
-
-
-def right_features(line: str, end: int, left: str) -> list[str]:
-    """Features of what follows a boundary, alone and together with the kind of the left side."""
-    rest = line[end : end + 60]
-    rest = rest.lstrip()
-    toks = rest.split()
-    r1 = toks[0] if toks else ""
-    bare = r1.lstrip("“„«\"'(¿¡「『（")
-    kind, opened = _kind(bare if bare else r1), "o" if bare != r1 else ""
-    sc = script(bare[:1])
-    out = [
-        f"R{_clip(r1)[:16]}",
-        f"K{kind}{opened}{left}",
-        f"S{_clip(r1)[:16]}|{_clip(toks[1])[:16] if len(toks) > 1 else ''}",
-        f"L{kind}{min(len(bare), 5)}{'.' in bare}",
-    ]
-    if sc in ("CJK", "HIRAGANA", "KATAKANA", "THAI"):
-        out += [f"E{n}{rest[:n]}" for n in (1, 2, 3, 5)] + [f"F{left}{rest[:3]}"]
-    else:
-        out += [f"F{left}{_clip(r1)[:16]}", f"G{left}|{_clip(toks[1])[:16] if len(toks) > 1 else ''}|{_clip(toks[2])[:16] if len(toks) > 2 else ''}"]
-    return out
-
-
-def features(line: str, start: int, end: int, closed: int, right_line: str | None = None, right_at: int = 0) -> list[int]:
-    """Hashed feature numbers of one boundary; the right side may come from another line (a reliable boundary)."""
-    left, kind = left_features(line, start, end, closed)
-    right = right_features(line, end, kind) if right_line is None else right_features(right_line, right_at, kind)
-    t1 = left[2]
-    r = right[1].split("|", 1)[0]
-    return [zlib.crc32(f.encode()) & (DIM - 1) for f in (*left, *right, f"P{t1}{r}")]
-
-
-def _matrix(rows: list[list[int]]) -> np.ndarray:
-    width = max(map(len, rows), default=1)
-    out = np.full((len(rows), width), DIM, dtype=np.int32)  # DIM is padding with weight 0
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    left = [0, 0, 0]
+    if sc in _UNSPACED or sc == "none":
+        left = [_hash(before[-n:]) | 1 for n in (2, 4, 7)]
+    rest = (line[end : end + 60] if right_line is None else right_line[:60]).lstrip()
+    after = rest.split(None, 3)
+    r1, kind, length, rs = _right_token(after[0] if after else "")
+    right = [0, 0, 0, 0]
+    if rs in _UNSPACED:
+        right = [_hash(rest[:n]) | 1 for n in (1, 2, 3, 5)]
+    return [
+        _small(mark), _small(quote), _small(sc), _small(ctx), h1, h2, size, form, 2 if before[-1:].isspace() else 1, _small(digit), *left,
+        r1, _token(after[1]) if len(after) > 1 else 1, _token(after[2]) if len(after) > 2 else 1, kind, length, *right,
+    ]
+
+
+def matrix(rows: list[list[int]]) -> np.ndarray:
+    """Feature numbers of observed boundaries, one row each; DIM is padding with weight 0."""
+    x = np.array(rows, dtype=np.uint64).reshape(len(rows), len(_OBSERVED))
+    at = {name: i for i, name in enumerate(_OBSERVED)}
+    out = np.empty((len(rows), len(FEATURES)), dtype=np.int32)
+    for k, parts in enumerate(FEATURES):
+        h = np.full(len(rows), k + 1, dtype=np.uint64)
+        for p in parts:
+            h = (h ^ x[:, at[p]]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        number = (h >> np.uint64(20)).astype(np.int64) & (DIM - 1)
+        for p in _ONLY_IF_SEEN.intersection(parts):
+            number = np.where(x[:, at[p]] == 0, DIM, number)
+        out[:, k] = number
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 100, l2: float = 1e-5, rate: float = 0.3) -> np.ndarray:
-    """Maximum-entropy (logistic) weights by full-batch Adam; the last entry is the padding's zero.
+class Fit:
+    """Maximum-entropy (logistic) weights of ``x``'s features by full-batch Adam.
 
-    Features seen in too few rows get no weight.
+    Features seen in too few rows get no weight; entry DIM is the padding's zero. ``of`` some rows starts where the
+    last call with the same ``name`` ended, so that later rounds need fewer steps.
     """
-    count = np.bincount(x.ravel(), minlength=DIM + 1)
-    count[DIM] = 0
-    used = np.flatnonzero(count >= min(LEAST_SEEN, max(2, len(x) // 2000)))
-    dense = np.full(DIM + 1, len(used), dtype=np.int32)
-    dense[used] = np.arange(len(used), dtype=np.int32)
-    z = dense[x]
-    flat, width, n = z.ravel(), z.shape[1], len(used) + 1
-    w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(w[z].sum(axis=1), -30, 30)))
-        g = np.bincount(flat, weights=np.repeat((p - y) / len(y), width), minlength=n) + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w[-1] = 0
-    out = np.zeros(DIM + 1)
-    out[used] = w[:-1]
-    return out
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x, self.kept = x, {}
+
+    def of(self, rows: np.ndarray, y: np.ndarray, name: object = None, l2: float = 1e-5, steps: int = FIRST_STEPS, later: int = LATER_STEPS, rate: float = 0.3) -> np.ndarray:
+        if (name, "plan") not in self.kept:
+            x = self.x[rows]
+            count = np.bincount(x.ravel(), minlength=DIM + 1)
+            count[DIM] = 0
+            used = np.flatnonzero(count >= min(LEAST_SEEN, max(2, len(x) // 2000)))
+            dense = np.full(DIM + 1, len(used), dtype=np.int32)
+            dense[used] = np.arange(len(used), dtype=np.int32)
+            z = dense[x]
+            order = np.argsort(z.ravel(), kind="stable")
+            owner = (order // z.shape[1]).astype(np.int32)
+            starts = np.searchsorted(z.ravel()[order], np.arange(len(used)))
+            self.kept[name, "plan"] = (used, z, owner[: int(count[used].sum())], starts)
+        used, z, owner, starts = self.kept[name, "plan"]
+        w = self.kept.get((name, "w"))
+        if w is None:
+            w = np.zeros(len(used) + 1, np.float32)
+        else:
+            steps = later
+        m, v = np.zeros(len(used), np.float32), np.zeros(len(used), np.float32)
+        y = y.astype(np.float32)
+        for t in range(1, steps + 1):
+            p = 1 / (1 + np.exp(-np.clip(w[z].sum(axis=1), -30, 30)))
+            g = np.add.reduceat(((p - y) / np.float32(len(y)))[owner], starts) + np.float32(l2) * w[:-1] if len(used) else m
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w[:-1] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        self.kept[name, "w"] = w
+        out = np.zeros(DIM + 1, np.float32)
+        out[used] = w[:-1]
+        return out
 
 
 def final_mark(line: str) -> tuple[int, int, int] | None:
@@ -257,42 +305,43 @@ def train(lines: list[str]) -> tuple[np.ndarray, float]:
     owner: list[int] = []
     for group in by_script.values():
         for i, ln in enumerate(group):
-            mine = [features(ln, *c) for c in candidates(ln)]
+            mine = [observed(ln, *c) for c in candidates(ln)]
             unl += mine
-            owner += [zlib.crc32(ln.encode())] * len(mine)
+            owner += [_hash(ln)] * len(mine)
             end = final_mark(ln)
             if end is None or len(group) < 2:
                 continue
             for step in (1, 2, 5):
                 nxt = group[(i + step) % len(group)]
                 wide = line_end_is_wide(ln, end)
-                pos.append(features(ln + " ", *end, right_line=nxt if wide else " " + nxt, right_at=0))
+                pos.append(observed(ln + " ", *end, right_line=nxt if wide else " " + nxt))
     if not pos or not unl:
-        w = np.zeros(DIM + 1)
-        return w, -1.0  # nothing to learn from: every candidate counts
-    xp, xu = _split(_matrix(pos + unl), len(pos))
-    fp, fu = np.arange(len(xp)) // 3 % FOLDS, np.array(owner) % FOLDS
+        return np.zeros(DIM + 1, np.float32), -1.0  # nothing to learn from: every candidate counts
+    n = len(pos)
+    x = matrix(pos + unl)
+    xp, xu = x[:n], x[n:]
+    fold = np.concatenate([np.arange(n) // 3 % FOLDS, np.array(owner) % FOLDS])
+    fp, fu = fold[:n], fold[n:]
+    fits = Fit(x)
     share = np.zeros(len(xu))
     for k in range(FOLDS):  # reliable boundaries against unlabelled candidates, each scored by a model that did not see it
-        w = fit(np.concatenate([xp[fp != k], xu[fu != k]]), np.concatenate([np.ones((fp != k).sum()), np.zeros((fu != k).sum())]), l2=2e-5)
+        rows = np.flatnonzero(fold != k)
+        w = fits.of(rows, (rows < n).astype(float), ("first", k), l2=2e-5)
         level = _score(w, xp[fp == k]).mean() if (fp == k).any() else 0.5
         share[fu == k] = np.clip(_score(w, xu[fu == k]) / max(level, 1e-6), 0, 1)
+    y = np.ones(len(x))
     for r in range(ROUNDS):  # then as labelled: the label of a candidate is what the others say of it
-        guess = np.zeros(len(xu))
-        y = (share > FIRST if r == 0 else share > NEXT).astype(float)
+        y[n:] = share > FIRST if r == 0 else share > NEXT
         for k in range(FOLDS):
-            w = fit(np.concatenate([xp[fp != k], xu[fu != k]]), np.concatenate([np.ones((fp != k).sum()), y[fu != k]]), l2=1e-5)
-            guess[fu == k] = _score(w, xu[fu == k])
-        share = guess
-    w = fit(np.concatenate([xp, xu]), np.concatenate([np.ones(len(xp)), (share > NEXT).astype(float)]), l2=1e-5)
-    return w, 0.5
-
-
-def _split(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return x[:n], x[n:]
+            rows = np.flatnonzero(fold != k)
+            w = fits.of(rows, y[rows], ("then", k))
+            share[fu == k] = _score(w, xu[fu == k])
+    y[n:] = share > NEXT
+    return fits.of(np.arange(len(x)), y, "all"), 0.5
 
 
 def _score(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Probability of a boundary for each row of feature numbers."""
     return 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1), -30, 30)))
 
 
@@ -309,10 +358,10 @@ def boundaries(lines: list[str | None], w: np.ndarray, threshold: float) -> list
         if ln is None or not ln.strip():
             continue
         for c in candidates(ln):
-            rows.append(features(ln, *c))
+            rows.append(observed(ln, *c))
             where.append((i, c[1]))
     if rows:
-        score = 1 / (1 + np.exp(-np.clip(w[_matrix(rows)].sum(axis=1), -30, 30)))
+        score = _score(w, matrix(rows))
         for (i, end), s in zip(where, score):
             if s > threshold:
                 out[i].append(end)
@@ -323,30 +372,45 @@ def boundaries(lines: list[str | None], w: np.ndarray, threshold: float) -> list
     return out
 
 
-def learn(df: DataFrame, col: str = "line", id_col: str = "line_id", bound: int = TRAIN_LINES) -> tuple[np.ndarray, float]:
-    """Train on at most ``bound`` lines, spread over the whole table by a hash of the id."""
-    some = df.where(F.col(col).isNotNull() & (F.trim(col) != ""))
-    total = some.count()
-    keep = min(1.0, bound / max(1, total))
-    sample = some.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < int(keep * 1_000_000)).select(id_col, col).limit(bound + bound // 10)
-    pdf = sample.toPandas().sort_values(id_col)
-    return train(pdf[col].tolist())
+def learn(df: DataFrame, col: str = "line", id_col: str = "line_id", bound: int = TRAIN_LINES, chars: int = TRAIN_CHARS) -> Model:
+    """Train on about ``bound`` lines of at most about ``chars`` characters, every script among them."""
+    return train(sampled(df, col, id_col, bound, 17, chars))
+
+
+def save(spark: SparkSession, model: Model, path: str) -> None:
+    """The model as one small table in a shared folder."""
+    w, threshold = model
+    used = np.flatnonzero(w)
+    rows = pd.DataFrame({"feature": np.append(used, -1), "weight": np.append(w[used], threshold).astype(float)})
+    spark.createDataFrame(rows).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    rows = spark.read.parquet(path).toPandas()  # at most DIM + 1 rows
+    w = np.zeros(DIM + 1, np.float32)
+    known = rows[rows.feature >= 0]
+    w[known.feature.to_numpy()] = known.weight.to_numpy()
+    return w, float(rows[rows.feature < 0].weight.iloc[0])
 
 
-def with_ends(df: DataFrame, col: str = "line", id_col: str = "line_id") -> DataFrame:
+def with_ends(df: DataFrame, col: str = "line", id_col: str = "line_id", model: Model | None = None) -> DataFrame:
     """``df`` with ``ends array<long>``: the end of each sentence of ``col`` in code points.
 
     Null and blank texts get an empty array; the last sentence ends at the last character that isn't white space.
+    Without a ``model`` one is trained on ``df``.
     """
-    w, threshold = learn(df, col, id_col)
+    w, threshold = learn(df, col, id_col) if model is None else model
     held = df.sparkSession.sparkContext.broadcast((w.astype(np.float32), threshold))
 
-    @F.pandas_udf("array<bigint>")
-    def ends(s: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<bigint>")
+    def ends(s: pa.Array) -> pa.Array:
         weights, limit = held.value
-        return pd.Series(boundaries([None if x is None else x for x in s], weights, limit))
+        got = boundaries(s.to_pylist(), weights, limit)
+        offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array([e for g in got for e in g], pa.int64()))
 
-    return df.withColumn("ends", ends(F.col(col)))
+    # else the filter that is inferred for an explode would run the function a second time
+    return df.withColumn("ends", ends.asNondeterministic()(F.col(col)))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
