@@ -40,7 +40,7 @@ def test_mojibake_found_and_restored(clean_lines):
 
 def test_mojibake_entities_and_edges(clean_lines):
     assert mojibake.without_entities("caf&#195;&#169; &amp; &#65;") == "cafÃ© &amp; &#65;"
-    assert mojibake.candidates("plain") == [] and mojibake.candidates("") == []
+    assert mojibake.decoded("plain") == [] and mojibake.decoded("") == [] and mojibake.changes("") == []
     model, margin, odd, _ = mojibake.train(clean_lines)
     assert mojibake.best(["", "plain ascii", "é" * 5000], model, odd)[1].tolist()[:2] == [0, 0]
 

@@ -49,3 +49,21 @@ def test_sentences_run_once_and_models_are_kept(spark, tmp_path):
     got = sentences.with_ends(df, model=again).select("line_id", F.explode("ends").alias("end_pos"))
     assert python_nodes(got) == 1
     assert got.count() == sentences.with_ends(df, model=model).select(F.explode("ends")).count()
+
+
+def test_garbled_lines_come_through_the_model(spark, tmp_path):
+    from textloom.llm import mojibake
+
+    df = spark.read.parquet(f"{SF}/crawl_lines.parquet").select("line_id", "line")
+    judge = mojibake.learn(df)
+    mojibake.save(spark, judge, str(tmp_path / "m"))
+    again = mojibake.load(spark, str(tmp_path / "m"))
+    rows = lambda j: sorted((r.line_id, r.restored) for r in mojibake.repaired(df, judge=j).where("garbled").collect() if r.restored is not None)
+    assert rows(judge) == rows(again) and judge[1:] == again[1:]
+    got = mojibake.repaired(df, judge=judge)
+    assert python_nodes(got.where("garbled")) == 1
+    lost = got.where("line like '%�%'").collect()
+    assert lost and all(r.garbled and r.gain > judge[1] and r.restored is None for r in lost)
+    # a higher margin refuses them like all others: nothing is garbled for the character alone
+    strict = (judge[0], 1e9, judge[2])
+    assert mojibake.repaired(df, judge=strict).where("garbled").count() == 0
