@@ -186,7 +186,7 @@ def test_pieces_against_brute_force(spark):
 def reps():
     from collections import Counter
 
-    return {flat: lookalikes.automaton(lookalikes.representatives(Counter("plain ascii text " * 9), flat)) for flat in (False, True)}
+    return {flat: lookalikes.automaton(lookalikes.representatives(Counter(), flat)) for flat in (False, True)}
 
 
 @pytest.mark.parametrize(
@@ -204,6 +204,37 @@ def test_other_look(reps, a, b):
     assert lookalikes.rewrite(a, reps[False]) != lookalikes.rewrite(b, reps[False])
 
 
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [("ρort", "port"), ("υnit", "unit"), ("օne", "one"), ("հat", "hat"), ("ոot", "not"), ("Ꮪea", "Sea"), ("ꓡamp", "Lamp"), ("Ⲏat", "Hat"), ("ⲟne", "one"), ("ҽnd", "end"),
+     ("τ", "т"), ("κ", "к"), ("ab\U000e0041c", "abc"), ("a\U000e0100b", "ab"), ("ﬁ\u200bn\u00ada", "fina")],
+)
+def test_same_look_across_scripts(reps, a, b):
+    assert lookalikes.rewrite(a, reps[False]) == lookalikes.rewrite(b, reps[False])
+
+
+def test_members_of_a_class_hold_no_other():
+    for flat in (False, True):
+        for ms in lookalikes.classes(flat).values():
+            assert not any(m and m != k and m in k for m in ms for k in ms)
+
+
+def test_rewriting_in_circles_ends():
+    a = lookalikes.automaton({"ab": "ba", "ba": "ab"})
+    assert lookalikes.rewrite("ab", a) == lookalikes.rewrite("ba", a) == "ab"
+
+
+def test_pruned_representatives_rewrite_alike():
+    from collections import Counter
+
+    texts = ["caf\u0065\u200d\u0301 \uff41bc", "dеlta ﬁne", "Ω\u0300 tе\u0301st"]
+    for flat in (False, True):
+        seen = Counter(c for t in texts for c in t)
+        few, every = lookalikes.representatives(seen, flat), lookalikes.representatives(Counter({**{chr(i): 0 for i in range(0x30000) if not 0xD800 <= i < 0xE000}, **seen}), flat)
+        assert len(few) < len(every) // 10
+        assert [lookalikes.rewrite(t, lookalikes.automaton(few)) for t in texts] == [lookalikes.rewrite(t, lookalikes.automaton(every)) for t in texts]
+
+
 def test_no_two_ascii_letters_share_a_class():
     for flat in (False, True):
         for ms in lookalikes.classes(flat).values():

@@ -67,3 +67,10 @@ def test_garbled_lines_come_through_the_model(spark, tmp_path):
     # a higher margin refuses them like all others: nothing is garbled for the character alone
     strict = (judge[0], 1e9, judge[2])
     assert mojibake.repaired(df, judge=strict).where("garbled").count() == 0
+
+
+def test_lookalikes_run_once(spark):
+    from textloom.llm import lookalikes
+
+    df = lookalikes.p5_found(spark, SF)
+    assert python_nodes(df) == 4  # texts and glossary forms of two fields
