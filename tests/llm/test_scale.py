@@ -74,3 +74,28 @@ def test_lookalikes_run_once(spark):
 
     df = lookalikes.p5_found(spark, SF)
     assert python_nodes(df) == 4  # texts and glossary forms of two fields
+
+
+def test_fit_decides_what_an_open_end_means(spark):
+    from textloom.llm import truncation as T
+
+    def chance(evidence, ending, posterior, odds):
+        df = spark.createDataFrame([(ending, posterior, odds)], "ending string, posterior double, odds double")
+        return df.select(evidence.column().alias("p")).first().p
+
+    base = {("whole", 0.0, 0.0): 9000.0, ("closing", 0.0, 0.0): 900.0, ("open", 0.99, 0.0): 200.0}
+    cut = T.Evidence(base | {("open", 0.0, 1.0): 300.0})  # as short as texts cut in transfer
+    kind = T.Evidence(base | {("open", 0.0, -3.0): 300.0})  # as long as whole texts: they are of that kind
+    assert chance(cut, "open", 0.0, 1.0) > 0.9 and chance(kind, "open", 0.0, -3.0) < 0.1
+    assert chance(kind, "open", 0.99, 0.0) > 0.9  # at a limit all the same
+    assert chance(cut, "whole", 0.999, 0.0) < 0.5 and chance(cut, "trail", 0.0, 0.0) < 0.5
+    assert chance(cut, "broken", 0.0, 0.0) > 0.5
+
+
+def test_texts_are_read_once(spark):
+    from textloom.llm import truncation as T
+
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    seen = T.with_endings(df)
+    assert "documents.parquet" not in seen._jdf.queryExecution().executedPlan().toString()
+    assert not set(r.ending for r in seen.collect()) - set(T.ENDINGS)
