@@ -78,14 +78,37 @@ def test_copies(spark):
 
 def test_ledger_equals_one_batch_and_touches_only_its_buckets(spark):
     df = copies.keyed(spark.read.parquet(f"{SF}/keyed_lines.parquet"))
-    one = {(r.first_id, r.n) for r in copies.build_ledger(spark, df, batches=1).read().collect()}
-    many = copies.build_ledger(spark, df, batches=4)
+    one = {(r.first_id, r.n) for r in copies.build_ledger(df, batches=1).read().collect()}
+    many = copies.build_ledger(df, batches=4, n_buckets=32)
     assert {(r.first_id, r.n) for r in many.read().collect()} == one
-    before = many._paths()
-    bucket = df.where("key is not null").limit(1).select("key", F.pmod(F.xxhash64("key"), F.lit(32)).cast("int").alias("b")).first()
-    many.update(df.where(F.col("key") == F.lit(bytes(bucket.key))), {bucket.b})
-    after = many._paths()
-    assert {b for b in after if after[b] != before[b]} == {bucket.b}
+    before = many._listing()[0]
+    row = df.where("key is not null").limit(1).select("key", many.bucket().alias("b")).first()
+    again = df.where(F.col("key") == F.lit(bytes(row.key)))
+    assert many.update(again, "more")
+    after = many._listing()[0]
+    assert {b for b in after if after[b] != before[b]} == {row.b}
+    state = {bytes(r.key): r.n for r in many.read().collect()}
+    assert state[bytes(row.key)] == 2 * again.count() and sum(state.values()) == sum(n for _, n in one) + again.count()
+
+
+def test_ledger_adds_a_batch_once_and_drops_what_is_replaced(spark):
+    df = copies.keyed(spark.read.parquet(f"{SF}/keyed_lines.parquet"))
+    ledger = copies.CopyLedger(spark, rows=df.count())
+    assert ledger.update(df, "a") and not ledger.update(df, "a")
+    n = ledger.read().agg(F.sum("n")).first()[0]
+    assert n == df.where("key is not null").count()
+    assert ledger.update(df, "b") and ledger.vacuum() > 0 and ledger.vacuum() == 0
+    assert ledger.read().agg(F.sum("n")).first()[0] == 2 * n and not ledger.update(df, "a")
+    files = [f for f in ledger.read().inputFiles()]
+    assert len(files) == len(ledger._listing()[0])  # one a bucket, without a second shuffle
+    with pytest.raises(ValueError):
+        ledger.update(df, "a/b")
+
+
+def test_symbols_tell_records_apart(spark):
+    rows = [(1, "5 €", "\t", None, None), (2, "5 £", "\t", None, None), (3, "5€", "\t", None, None), (4, "5 €!", "\t", None, None), (5, "a+b", "\t", None, None), (6, "A b", "\t", None, None)]
+    got = sorted((r.first_id, r.rec_id) for r in copies.copies_found(records(spark, rows)).collect())
+    assert got == [(1, 4), (5, 6)]
 
 
 def test_hot_group_of_copies(spark):

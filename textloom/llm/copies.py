@@ -3,19 +3,27 @@
 A record's canonical key is the sorted collection of its fields plus the sorted collection of its key entries,
 each reduced to lower-case words. ``CopyLedger`` keeps, per canonical key, the number of copies and the earliest
 record, in hash buckets on shared storage. A batch is aggregated first (so a key that holds a third of all rows
-reaches the shuffle as one row per task), then full-outer-joined with the buckets it touches, and only those
-buckets are written again.
+reaches the shuffle as one row per task), then full-outer-joined with the buckets its keys fall into, and only those
+buckets are written again. A batch that was added is known by its name and not added twice.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import scratch_dir, table
+from textloom.session import scratch_dir, settle, table
 
 #: Share of all rows from which a key counts as hot. There are at most 1 / HOT_SHARE such keys, so they may be broadcast.
 HOT_SHARE = 0.001
+#: Records for which a new ledger has one bucket; a bucket is written by one task.
+BUCKET_ROWS = 2_000_000
+#: What counts as white space or punctuation: all but letters, digits, marks and symbols, and of ASCII's signs all. Other
+#: symbols, as currencies, tell records apart.
+_APART = r"[^\p{L}\p{N}\p{M}\p{S}%s]+|[$+<=>^`|~]+"
 
 
 def fold_case(c: Column) -> Column:
@@ -25,7 +33,7 @@ def fold_case(c: Column) -> Column:
 
 def canonical_text(c: Column) -> Column:
     """Words of ``c`` without their case, one space between them."""
-    return F.btrim(F.regexp_replace(fold_case(c), r"[^\p{L}\p{N}\p{M}]+", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(fold_case(c), _APART % "", " "), " +", " "))
 
 
 def record_key(line: str = "line", delim: str = "delim", key: str = "key") -> Column:
@@ -38,8 +46,8 @@ def record_key(line: str = "line", delim: str = "delim", key: str = "key") -> Co
     fields = F.when(
         F.coalesce(F.col(delim), F.lit("")) == "", F.translate(F.col(line), sep, " ")
     ).otherwise(F.expr(f"replace(translate(`{line}`, '{sep}', ' '), `{delim}`, '{sep}')"))
-    flat = F.regexp_replace(fold_case(fields), rf"[^\p{{L}}\p{{N}}\p{{M}}{sep}]+", " ")
-    flat = F.regexp_replace(flat, f" *{sep} *", sep)
+    flat = F.regexp_replace(fold_case(fields), _APART % sep, " ")
+    flat = F.regexp_replace(F.regexp_replace(flat, " +", " "), f" ?{sep} ?", sep)
     line_part = F.array_join(F.array_sort(F.split(F.btrim(flat), sep, -1)), sep)
     entries = F.array_sort(F.transform(F.col(key), lambda x: F.coalesce(canonical_text(x), F.lit("\u001e"))))
     key_part = F.coalesce(F.concat(F.size(F.col(key)).cast("string"), F.lit(sep), F.array_join(entries, sep)), F.lit("\u0000"))
@@ -50,88 +58,106 @@ def record_key(line: str = "line", delim: str = "delim", key: str = "key") -> Co
 class CopyLedger:
     """Bucketed counts of canonical keys that grow batch by batch.
 
-    Each update writes its touched buckets below ``<path>/step=<n>/bucket=<b>``; the newest step of a bucket is its
-    state. An update that failed half-way leaves a step without ``_SUCCESS``, which is ignored and overwritten.
+    Each update writes the buckets its keys fall into below ``<path>/step=<n>,<batch>/bucket=<b>``; the newest step of a
+    bucket is its state. An update that failed half-way leaves a step without ``_SUCCESS``, which is ignored and
+    overwritten. Buckets follow the hash by which Spark shuffles a join on the key, so that with a multiple of
+    ``spark.sql.shuffle.partitions`` buckets the joined rows are written where they are, one file a bucket.
     """
 
-    SCHEMA = "key binary, n long, first_id long, bucket int"
+    SCHEMA = "key binary, n long, first_id long"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, n_buckets: int = 32):
-        self.spark, self.path, self.n_buckets = spark, path or scratch_dir(spark, "ledger"), n_buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, n_buckets: int | None = None, rows: int = 0):
+        self.spark, self.path = spark, path or scratch_dir(spark, "ledger")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.n_buckets = n_buckets or tasks * max(1, math.ceil(rows / (BUCKET_ROWS * tasks)))
 
-    def _paths(self) -> dict[int, str]:
-        """Newest folder per bucket, from the folder listing (at most buckets times steps entries)."""
+    def _listing(self) -> tuple[dict[int, tuple[int, str]], dict[str, int], list[str]]:
+        """Newest step and folder of each bucket, the step of each finished batch, and folders that newer ones replace."""
         hpath = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = hpath(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found: dict[int, tuple[int, str]] = {}
-        self._next = 0
-        if not fs.exists(hpath(self.path)):
-            return {}
-        for step in fs.listStatus(hpath(self.path)):
-            name = step.getPath().getName()
-            if not name.startswith("step=") or not fs.exists(hpath(step.getPath(), "_SUCCESS")):
+        newest: dict[int, tuple[int, str]] = {}
+        batches: dict[str, int] = {}
+        old: list[str] = []
+        for step in fs.listStatus(hpath(self.path)) if fs.exists(hpath(self.path)) else []:
+            m = re.fullmatch(r"step=(\d+),(.*)", step.getPath().getName())
+            if not m or not fs.exists(hpath(step.getPath(), "_SUCCESS")):
                 continue
-            no = int(name[5:])
-            self._next = max(self._next, no + 1)
+            no = int(m[1])
+            batches[m[2]] = no
             for part in fs.listStatus(step.getPath()):
                 leaf = part.getPath().getName()
                 if leaf.startswith("bucket="):
-                    b = int(leaf[7:])
-                    if b not in found or found[b][0] < no:
-                        found[b] = (no, part.getPath().toString())
-        return {b: p for b, (_, p) in found.items()}
+                    b, at = int(leaf[7:]), part.getPath().toString()
+                    if b in newest:
+                        old.append(min(newest[b], (no, at))[1])
+                        newest[b] = max(newest[b], (no, at))
+                    else:
+                        newest[b] = (no, at)
+        return newest, batches, old
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(self.n_buckets)).cast("int").alias("bucket")
+    def bucket(self) -> Column:
+        return F.pmod(F.hash("key"), F.lit(self.n_buckets)).cast("int")
 
     def read(self, buckets: set[int] | None = None) -> DataFrame:
-        paths = [p for b, p in self._paths().items() if buckets is None or b in buckets]
+        """``(key, n, first_id)``: the state, of all or of some buckets; good until the next ``vacuum``."""
+        paths = [at for b, (_, at) in sorted(self._listing()[0].items()) if buckets is None or b in buckets]
         if not paths:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema("key binary, n long, first_id long").parquet(*paths).withColumn("bucket", self._bucket())
-
-    def update(self, batch: DataFrame, touched: set[int] | None = None) -> None:
-        """Add ``batch(key binary, rec_id long)``; rows with a null key are left out. ``touched``: buckets it may hold, if known."""
-        old = self.read(touched)
-        step = self._next
-        fresh = batch.where("key is not null").groupBy("key").agg(F.count("*").alias("m"), F.min("rec_id").alias("id2")).withColumn("bucket", self._bucket())
-        joined = old.join(fresh, ["bucket", "key"], "full_outer").select(
-            "bucket",
-            "key",
-            (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"),
-            F.least("first_id", "id2").alias("first_id"),
-        )
-        joined.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/step={step}")
+        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
+
+    def update(self, batch: DataFrame, name: str | None = None) -> bool:
+        """Add ``batch(key binary, rec_id long)``; rows with a null key are left out. False, and nothing is done, if a
+        batch of this ``name`` (letters, digits, ``_`` and ``-``) was added before."""
+        _, batches, _ = self._listing()
+        step = max(batches.values(), default=-1) + 1
+        name = name if name is not None else f"batch-{step}"
+        if not re.fullmatch(r"[\w-]+", name):
+            raise ValueError(f"bad name of a batch: {name!r}")
+        if name in batches:
+            return False
+        fresh = settle(batch.where("key is not null").groupBy("key").agg(F.count("*").alias("m"), F.min("rec_id").alias("id2")), "batch")
+        touched = {r.b for r in fresh.select(self.bucket().alias("b")).distinct().collect()}  # at most n_buckets
+        joined = self.read(touched).join(fresh, "key", "full_outer").select(
+            "key", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.least("first_id", "id2").alias("first_id"), self.bucket().alias("bucket")
+        )
+        joined.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/step={step},{name}")
+        return True
+
+    def vacuum(self) -> int:
+        """Remove buckets that newer ones replace; their steps stay as the record of what was added."""
+        old = self._listing()[2]
+        hpath = self.spark._jvm.org.apache.hadoop.fs.Path
+        for at in old:
+            hpath(at).getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hpath(at), True)
+        return len(old)
 
 
 def keyed(df: DataFrame, id_col: str = "rec_id") -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("rec_id"), record_key().alias("key"), "loaded_at")
 
 
-def build_ledger(spark: SparkSession, recs: DataFrame, batches: int = 3, n_buckets: int = 32) -> CopyLedger:
-    """Feed ``recs(rec_id, key, loaded_at)`` to a new ledger in ``batches`` spans of loading time (null times first)."""
-    ledger = CopyLedger(spark, n_buckets=n_buckets)
-    lo, hi = recs.select(F.min("loaded_at").cast("double"), F.max("loaded_at").cast("double")).first()
+def build_ledger(recs: DataFrame, batches: int = 3, n_buckets: int | None = None) -> CopyLedger:
+    """Feed ``recs(rec_id, key, loaded_at)``, best a written table, to a new ledger in ``batches`` spans of loading time
+    (null times first)."""
+    lo, hi, rows = recs.select(F.min("loaded_at").cast("double"), F.max("loaded_at").cast("double"), F.count("key")).first()
+    ledger = CopyLedger(recs.sparkSession, n_buckets=n_buckets, rows=rows)
     at = F.coalesce(F.col("loaded_at").cast("double"), F.lit(lo if lo is not None else 0.0))
-    if lo is None or hi <= lo:
-        ledger.update(recs)
-        return ledger
-    cuts = [lo + (hi - lo) * k / batches for k in range(1, batches)]
-    for low, high in zip([None, *cuts], [*cuts, None]):
+    cuts = [lo + (hi - lo) * k / batches for k in range(1, batches)] if lo is not None and hi > lo else []
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
         part = recs if low is None else recs.where(at >= low)
-        ledger.update(part if high is None else part.where(at < high))
+        ledger.update(part if high is None else part.where(at < high), f"span-{k}")
+        ledger.vacuum()
     return ledger
 
 
-def copies_found(df: DataFrame, batches: int = 3, n_buckets: int = 32) -> DataFrame:
+def copies_found(df: DataFrame, batches: int = 3, n_buckets: int | None = None) -> DataFrame:
     """``(first_id, rec_id)``: one row for every record that is a copy of an earlier one.
 
-    Ties of equal ``rec_id`` are one record. Hot keys (above HOT_SHARE of all rows, so at most 1 / HOT_SHARE of them)
-    are looked up by broadcast; all others by a shuffled join on the key.
+    Ties of equal ``rec_id`` are one record. The records are read and keyed once. Hot keys (above HOT_SHARE of all rows,
+    so at most 1 / HOT_SHARE of them) are looked up by broadcast; all others by a shuffled join on the key.
     """
-    spark = df.sparkSession
-    recs = keyed(df)
-    ledger = build_ledger(spark, recs, batches, n_buckets).read().where("n > 1")
+    recs = settle(keyed(df), "keyed-records")
+    ledger = build_ledger(recs, batches, n_buckets).read().where("n > 1")
     total = ledger.agg(F.sum("n")).first()[0] or 0
     hot_n = max(1000, int(total * HOT_SHARE))
     some = recs.where("key is not null").select("rec_id", "key")
@@ -143,9 +169,9 @@ def copies_found(df: DataFrame, batches: int = 3, n_buckets: int = 32) -> DataFr
     return from_hot.unionByName(from_rest).where("first_id <> rec_id")
 
 
-def collapsed(df: DataFrame, batches: int = 3, n_buckets: int = 32) -> DataFrame:
+def collapsed(df: DataFrame, batches: int = 3, n_buckets: int | None = None) -> DataFrame:
     """One row per group of copies: ``(first_id, n_copies)`` from the ledger, without a second pass over the records."""
-    return build_ledger(df.sparkSession, keyed(df), batches, n_buckets).read().select("first_id", F.col("n").alias("n_copies"))
+    return build_ledger(settle(keyed(df), "keyed-records"), batches, n_buckets).read().select("first_id", F.col("n").alias("n_copies"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +185,8 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_KEYS = r"""
 WITH c AS (
   SELECT rec_id,
-    list_sort(list_transform(string_split(line, delim), lambda x: trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')))) AS fs,
-    list_sort(list_transform(key, lambda x: trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')))) AS ks
+    list_sort(list_transform(string_split(line, delim), lambda x: trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '([^\p{L}\p{N}\p{M}\p{S}]|[$+<=>^`|~])+', ' ', 'g')))) AS fs,
+    list_sort(list_transform(key, lambda x: trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '([^\p{L}\p{N}\p{M}\p{S}]|[$+<=>^`|~])+', ' ', 'g')))) AS ks
   FROM keyed_lines WHERE regexp_matches(line, '[\p{L}\p{N}]')),
 g AS (SELECT min(rec_id) AS first_id, count(*) AS n_copies, list(rec_id) AS ids FROM c GROUP BY fs, ks)
 """
