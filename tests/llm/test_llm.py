@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import math
 import random
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -202,6 +203,35 @@ def test_pieces_against_brute_force(spark):
         assert all(len(r) - x.new_bytes <= o for r, x in zip(raw, p))
 
 
+@pytest.mark.parametrize("unit", ["কি", "கொ", "తె", "ភ្នំ", "မြ", "שָׁ", "é", "👩‍🚀", "👍🏽", "🇩🇪", "❤️", "x⃝"])
+def test_characters_are_not_cut_from_their_marks(spark, unit):
+    n = len(unit.encode())
+    df = spark.createDataFrame([(1, "a" + unit * 9 if unit != "🇩🇪" else "a" + (unit + "b") * 9, n + 3, "", 0)], ITEM)
+    for p in pieces.with_pieces(df).first().pieces[1:]:
+        assert unicodedata.category(p.piece[0])[0] != "M" and p.piece[0] not in "\u200d\U0001f680\U0001f3fd\U0001f1ea"
+
+
+def test_marks_are_those_of_unicode():
+    text = "".join(chr(c) for c in range(0x20, 0xE01F0) if not 0xD800 <= c < 0xE000)
+    raw = text.encode().decode("latin-1")
+    import re as _re
+
+    for pat, to in pieces._mark_rules()[:-3]:
+        raw = _re.sub(pat, to, raw)
+    got = {m.group().translate({ord(a): b for a, b in zip(pieces._MOVED_LEADS, pieces._LEADS)}).encode("latin-1").decode() for m in _re.finditer(pieces._MARK + "[\x80-\xbf]*", raw)}
+    want = {c for c in text if unicodedata.category(c)[0] == "M" or c in "\u200c\u200d" or "\U0001f3fb" <= c <= "\U0001f3ff" or "\U000e0020" <= c <= "\U000e007f"}
+    assert got == want
+
+
+def test_wide_overlap(spark):
+    df = spark.createDataFrame([(1, "abcdefghijklmnop", 10, "", 8), (2, "漢字漢字漢字", 9, "", 8), (3, "a b c d e f g h", 6, " ", 99)], ITEM)
+    got = {r.item_id: [p.piece for p in r.pieces] for r in pieces.with_pieces(df).collect()}
+    # the rest fits as a whole, which goes before the overlap
+    assert got[1] == ["ab", "abcd", "abcdef", "ghijklmnop"]
+    assert got[2][0] == "漢" and "".join(got[2])[-1] == "字"
+    assert all(len(p.encode()) <= w for i, w in ((1, 10), (2, 9), (3, 6)) for p in got[i])
+
+
 # --- look-alikes ------------------------------------------------------------------------------------------------
 
 

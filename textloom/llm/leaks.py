@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from textloom.session import BROADCAST_ROWS, settle, table
 
 WINDOW = 12
+#: Items whose texts are larger together are not broadcast for the comparison, however few they are.
+BROADCAST_BYTES = 64 << 20
 #: Positions that count under each mask. Together they leave out every position at least once but the first and last, where an overlap can't have a substitution.
 MASKS = ((0, 2, 3, 5, 6, 8, 9, 10, 11), (0, 1, 3, 4, 5, 7, 8, 9, 11), (0, 1, 2, 4, 5, 6, 7, 8, 10, 11), (0, 1, 2, 3, 4, 6, 7, 9, 10, 11))
 
@@ -128,8 +130,8 @@ def overlaps(docs: DataFrame, items: DataFrame, most_subs: int = 1) -> DataFrame
     """``(doc_id, item_id, words, substitutions, exact_words)`` for each document and item that share an overlap.
 
     ``docs(doc_id, text)``, ``items(item_id, text)``. One row per pair: its longest overlap. Null texts and texts
-    shorter than a window have none. Item seeds go to the workers only while they are at most BROADCAST_ROWS rows;
-    beyond that both sides are shuffled by the seed.
+    shorter than a window have none. Item seeds go to the workers only while they are at most BROADCAST_ROWS rows, and
+    item texts only while they are at most so many and BROADCAST_BYTES large; beyond that both sides are shuffled.
     """
     item_seeds = settle(seeded(items, "item_id").select(F.col("id").alias("item_id"), F.explode("hits").alias("h")).select("item_id", "h.seed", F.col("h.at").alias("item_at")), "item-seeds")
     few = item_seeds.count() <= BROADCAST_ROWS
@@ -151,7 +153,9 @@ def overlaps(docs: DataFrame, items: DataFrame, most_subs: int = 1) -> DataFrame
         .agg(F.collect_list(F.struct("hit.at", "hit.item_at")).alias("hits"))
     )
     item_texts = items.select("item_id", F.col("text").alias("item_text"))
-    found = pairs.join(texts, "doc_id").join(F.broadcast(item_texts) if few else item_texts, "item_id")
+    rows, size = items.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    small = rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    found = pairs.join(texts, "doc_id").join(F.broadcast(item_texts) if small else item_texts, "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

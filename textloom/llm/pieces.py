@@ -8,29 +8,83 @@ where a stretch without delimiters is longer than the limit. Overlaps are taken
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache, reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.session import table
 
 WIDTH, DELIMITERS = 80, ":, -./"
-#: Bytes of the longest character; a piece moves on by at least so many.
-LEAST_STEP = 4
-#: Fixed values, as UTF-8 bytes: marks that belong to the character before (combining marks, vowel signs, joiners, selectors).
-_MARKS = (
-    r"(?:\xCC[\x80-\xBF]|\xCD[\x80-\xAF]|\xE0[\xA4\xA5][\x80-\x83\xBA-\xBF]|\xE0\xA5[\x80-\x8F]|\xE0\xB8[\xB1\xB4-\xBA]|\xE0\xB9[\x87-\x8E]"
-    r"|\xD9[\x8B-\x9F]|\xE2\x80[\x8C\x8D]|\xE2\x83[\x90-\xBF]|\xEF\xB8[\x80-\x8F]|\xE3\x82[\x99\x9A])"
-)
+#: How far the first byte of a character is moved that belongs to the one before it.
+_MOVED = 0x100
 _CHAR_END = r"(?![\x80-\xBF])"
 
 
+def _mark_bytes() -> dict[int, list[bytes]]:
+    """By first byte, the UTF-8 forms of all characters that belong to the one before: combining marks and vowel signs,
+    joiners, selectors and skin tones."""
+    out: dict[int, list[bytes]] = {}
+    for cp in range(0x300, 0xE01F0):
+        if unicodedata.category(chr(cp))[0] == "M" or cp in (0x200C, 0x200D) or 0x1F3FB <= cp <= 0x1F3FF or 0xE0020 <= cp <= 0xE007F:
+            raw = chr(cp).encode()
+            out.setdefault(raw[0], []).append(raw)
+    return out
+
+
+def _tree(tails: list[bytes]) -> str:
+    """Pattern of byte strings of one length, as a tree of byte classes."""
+    hexed = lambda b: f"\\x{b:02X}"
+    if len(tails[0]) == 1:
+        return "[" + "".join(hexed(t[0]) for t in sorted(tails)) + "]"
+    heads: dict[int, list[bytes]] = {}
+    for t in tails:
+        heads.setdefault(t[0], []).append(t[1:])
+    same: dict[str, list[int]] = {}
+    for h, rest in heads.items():
+        same.setdefault(_tree(rest), []).append(h)
+    return "(?:" + "|".join("[" + "".join(map(hexed, hs)) + "]" + p for p, hs in same.items()) + ")"
+
+
+@lru_cache(maxsize=1)
+def _mark_rules() -> list[tuple[str, str]]:
+    """Rules that move the first bytes of marks, of what a joiner joins, and of all but the first regional indicator."""
+    out = [(f"\\x{lead:02X}(?={_tree([r[1:] for r in raws])})", chr(lead + _MOVED)) for lead, raws in _mark_bytes().items()]
+    flag = r"\x9F\x87[\xA6-\xBF]"
+    out += [(rf"(?<=\x{{{0xE2 + _MOVED:X}}}\x80\x8D)\x{lead:02X}", chr(lead + _MOVED)) for lead in (0xE2, 0xF0)]
+    return [*out, (rf"(?<=[\xF0\x{{{0xF0 + _MOVED:X}}}]{flag})\xF0(?={flag})", chr(0xF0 + _MOVED))]
+
+
+_LEADS = "".join(chr(b) for b in range(0xC2, 0xF5))
+_MOVED_LEADS = "".join(chr(b + _MOVED) for b in range(0xC2, 0xF5))
+_MARK = f"[{_MOVED_LEADS[0]}-{_MOVED_LEADS[-1]}]"
+#: Texts in which no character belongs to the one before it have none of these.
+_SOME_MARK = r"[\p{M}\x{200C}\x{200D}\x{1F3FB}-\x{1F3FF}\x{1F1E6}-\x{1F1FF}\x{E0020}-\x{E007F}]"
+
+
 def as_bytes(c: Column) -> Column:
     """Text with one character per UTF-8 byte."""
     return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
 
 def from_bytes(c: Column) -> Column:
-    return F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")
+    return F.decode(F.encode(F.translate(c, _MOVED_LEADS, _LEADS), "ISO-8859-1"), "UTF-8")
+
+
+def marked_bytes(c: Column) -> Column:
+    """``as_bytes`` in which the first byte of a character that belongs to the one before it is moved out of the range of bytes."""
+    moved = reduce(lambda acc, r: F.regexp_replace(acc, r[0], r[1]), _mark_rules(), as_bytes(c))
+    return F.when(c.rlike(_SOME_MARK), moved).otherwise(as_bytes(c))
+
+
+def _any_form(char: Column) -> Column:
+    """Pattern of one character's bytes, its first one moved or not."""
+    raw = as_bytes(char)
+    first = F.substring(raw, 1, 1)
+    return F.when(F.length(raw) == 1, F.concat(F.lit(r"\Q"), raw, F.lit(r"\E"))).otherwise(
+        F.concat(F.lit("["), first, F.translate(first, _LEADS, _MOVED_LEADS), F.lit(r"]\Q"), F.substring(raw, 2, 4), F.lit(r"\E"))
+    )
 
 
 def cut_pattern(width: Column, delimiters: Column, overlap: Column) -> Column:
@@ -38,15 +92,13 @@ def cut_pattern(width: Column, delimiters: Column, overlap: Column) -> Column:
 
     Groups: 1 natural within what the overlap leaves, 2 natural within the limit, 3 forced.
     """
-    marks = F.array_join(
-        F.transform(F.regexp_extract_all(delimiters, F.lit("(?s)."), F.lit(0)), lambda d: F.concat(F.lit(r"\Q"), as_bytes(d), F.lit(r"\E"))), "|"
-    )
+    marks = F.array_join(F.transform(F.regexp_extract_all(delimiters, F.lit("(?s)."), F.lit(0)), _any_form), "|")
     edge = F.when(marks == "", F.lit(r"\z")).otherwise(F.concat(F.lit("(?:(?<="), marks, F.lit(")|(?="), marks, F.lit(r")|\z)")))
     w, free = width.cast("string"), (width - overlap).cast("string")
     return F.concat(
         F.lit("(?s)(.{1,"), free, F.lit("}"), edge,
         F.lit(")|(.{1,"), w, F.lit("}"), edge,
-        F.lit(")|(.{1,"), free, F.lit(f"}}{_CHAR_END}(?!{_MARKS})|.{{1,"), free, F.lit(f"}}{_CHAR_END}|.[\\x80-\\xBF]*)"),
+        F.lit(")|(.{1,"), free, F.lit(f"}}{_CHAR_END}(?!{_MARK})|.{{1,"), free, F.lit(f"}}{_CHAR_END}|.[\\x80-\\xBF]*)"),
     )
 
 
@@ -55,13 +107,13 @@ def with_pattern(df: DataFrame) -> DataFrame:
     pattern, else null.
 
     Null width, delimiters and overlap mean 80 bytes, the six default delimiters and no overlap; a width below 1 counts
-    as 1, a negative overlap as none, and an overlap leaves at least one character of progress.
+    as 1, a negative overlap as none. Every piece goes on by a character at least, with as much of the overlap as fits.
     """
     width = F.greatest(F.coalesce(F.col("column_width").cast("int"), F.lit(WIDTH)), F.lit(1))
     delims = F.coalesce(F.col("delimiters"), F.lit(DELIMITERS))
-    over = F.greatest(F.least(F.coalesce(F.col("overlap").cast("int"), F.lit(0)), width - LEAST_STEP), F.lit(0))
+    over = F.greatest(F.least(F.coalesce(F.col("overlap").cast("int"), F.lit(0)), width - 1), F.lit(0))
     df = df.withColumn("_w", width).withColumn("_o", over).withColumn("_long", F.octet_length("line") > width)
-    return df.withColumn("_b", F.when(F.col("_long"), as_bytes(F.col("line")))).withColumn("_p", F.when(F.col("_long"), cut_pattern(F.col("_w"), delims, F.col("_o"))))
+    return df.withColumn("_b", F.when(F.col("_long"), marked_bytes(F.col("line")))).withColumn("_p", F.when(F.col("_long"), cut_pattern(F.col("_w"), delims, F.col("_o"))))
 
 
 def forced_cuts(df: DataFrame) -> DataFrame:
