@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,32 +19,32 @@ WIDTH, DELIMITERS = 80, ":, -./"
 def fold_line(line: str, width: int = WIDTH, delimiters: str = DELIMITERS, skip: bool = False) -> tuple[list[str], list[str]]:
     """Pieces of at most ``width`` bytes, and the delimiters taken out after each (empty unless ``skip``).
 
-    A cut goes to the most preferred delimiter seen since the last cut (to the start of its run), else to the width,
-    and is then moved over the delimiters that follow, when they are kept only while the piece stays within the width.
+    A piece may reach to the first place that is ``width`` bytes or more from its start. It is cut where the run of
+    delimiters begins that holds the last occurrence of the most preferred delimiter in reach, or else at that place;
+    the delimiters from there on belong to it too, when they are kept only while the piece stays within the width.
     """
-    offset = [0]
-    for c in line:
-        offset.append(offset[-1] + len(c.encode("utf-8", "surrogatepass")))
-    last_run = dict.fromkeys(delimiters, 0)  # start of the run in which each delimiter was last seen
-    run = cut = i = 0
+    ends = list(itertools.accumulate((len(c.encode("utf-8", "surrogatepass")) for c in line), initial=0))
+    runs = [m.span() for m in re.finditer(f"[{re.escape(delimiters)}]+", line)] if delimiters else []
+    begins = [a for a, _ in runs]
+
+    def run_at(i: int) -> tuple[int, int]:
+        """The run of delimiters that holds place ``i``, or an empty one there."""
+        k = bisect.bisect_right(begins, i) - 1
+        return runs[k] if k >= 0 and i < runs[k][1] else (i, i)
+
     pieces, gaps = [], []
-    while i < len(line):
-        c, i = line[i], i + 1
-        if c in last_run:
-            last_run[c] = run
-        else:
-            run = i
-        if offset[i] - offset[cut] < width:
-            continue
-        to = next((at for at in (last_run[d] for d in delimiters) if at > cut), i)
-        end = to
-        while end < len(line) and line[end] in last_run and (skip or offset[end] - offset[cut] < width):
-            end += 1
-        pieces.append(line[cut : to if skip else end])
-        gaps.append(line[to:end] if skip else "")
-        cut = i = end
-    if cut < len(line) or not line:
-        pieces.append(line[cut:])
+    start = 0
+    while (reach := max(start + 1, bisect.bisect_left(ends, ends[start] + width))) <= len(line):
+        last = (line.rfind(d, start, reach) for d in delimiters)
+        cut = next((a for a, _ in map(run_at, filter(lambda i: i >= 0, last)) if a > start), reach)
+        after = run_at(cut)[1]
+        if not skip:
+            after = max(cut, min(after, bisect.bisect_left(ends, ends[start] + width)))
+        pieces.append(line[start : cut if skip else after])
+        gaps.append(line[cut:after] if skip else "")
+        start = after
+    if start < len(line) or not line:
+        pieces.append(line[start:])
         gaps.append("")
     return pieces, gaps
 
