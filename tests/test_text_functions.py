@@ -45,7 +45,6 @@ def test_punctuation_and_heuristics(spark):
     assert one(spark, "„Hi” ( x ) – 5 % : a’b…", rules.normalize_punctuation) == "\"Hi\" (x) - 5%: a'b..."
     assert one(spark, 'say "so."', lambda c: rules.normalize_punctuation(c, "de")) == 'say "so".'
     assert one(spark, "he said \"so\".", rules.normalize_punctuation) == 'he said "so."'
-    assert one(spark, "full - time !! ca n't do . . . x", rules.apply_heuristics) == "full-time ! can't do ... x".replace("can't", "ca n't") or True
     assert one(spark, "a dlrs b", rules.apply_heuristics) == "a $ b"
 
 
@@ -126,7 +125,7 @@ def test_pipe(spark):
 
 
 def test_pipelines(spark):
-    assert one(spark, "« Ça va ? » Mr. X said.", lambda c: text_pipeline(c, "en")) is not None
+    assert one(spark, "« Ça va ? » Mr. X said.", lambda c: text_pipeline(c, "en")) == "&quot; ça va ? &quot; mr. x said ."
     with pytest.raises(ValueError):
         text_pipeline(F.lit("a"), "eng")
     rows = ["<TEXT>", "<P>", "One &amp;lt; (MORE) two.", "One &amp;lt; (MORE) two.", "</P>", "Three (AT)x.", "</TEXT>", "out", "<HEADLINE>", "Big-", "News", "</HEADLINE>"]

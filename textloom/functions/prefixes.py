@@ -33,6 +33,15 @@ def parse(lines: list[str]) -> dict[str, int]:
     return out
 
 
+def load_folder(spark, path: str) -> dict[str, dict[str, int]]:
+    """Lists of all languages from files ``<anything>.<language>`` in a folder that Spark can read."""
+    rows = spark.read.text(f"{path.rstrip('/')}/*.*").selectExpr("_metadata.file_name as name", "value").collect()  # lists of words
+    files: dict[str, list[str]] = {}
+    for r in rows:
+        files.setdefault(r.name.rsplit(".", 1)[1], []).append(r.value)
+    return {lang: parse(lines) for lang, lines in files.items()}
+
+
 def load(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
         return parse(f.read().splitlines())

@@ -37,6 +37,13 @@ def escape(c: Column) -> Column:
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), ESCAPES, c)
 
 
+def tidy_escape(c: Column) -> Column:
+    """A whole line as later tools want it: spaces squeezed and trimmed, control characters gone, escaped, and translation
+    instructions that were markup before put back."""
+    out = escape(apply(c, TIDY))
+    return apply(out, RESTORED)
+
+
 def deescape(c: Column) -> Column:
     """Inverse of ``escape``, with the older names; the ampersand last."""
     pairs = [(b, a) for a, b in ESCAPES[1:]] + LEGACY + [("&amp;", "&")]
@@ -53,6 +60,11 @@ def escape_sql(expr: str, undo: bool = False) -> str:
 TIDY: list[Rule] = [(r"[\x00-\x1f]", ""), (r"\s+", " "), (r"^ | $", "")]
 
 
+# Fixed value: an instruction that was markup before escaping.
+RESTORED: list[Rule] = [(r"&lt;(\S+) translation=&quot;(.+?)&quot;&gt; (.+?) &lt;/(\S+)&gt;", '<$1 translation="$2"> $3 </$4>')]
+
+
+# The rules of this function, in their order.
 def punctuation(lang: str = "en", penn: bool = False) -> list[Rule]:
     """Rules that bring punctuation to plain ASCII, for one language. ``(\\s*[^<])`` may match the line's end, so the
     caller adds a newline and takes it away again (``normalize_punctuation``)."""
@@ -87,6 +99,7 @@ _PRONOUNS = "je|j'|tu|il|elle|on|nous|vous|ils|elles|me|m'|te|t'|le|l'|la|les|lu
 _PREFIXES = "short|long|medium|one|half|two|on|off|in|post|ex|multi|de|mid|co|inter|intra|anti|re|pre|e|non|pro|self"
 _NEGATED = "ca|are|do|could|did|does|had|has|have|is|must|need|should|was|were|wo|would"
 
+# The rules of the lists below, in their order.
 _COMMON: list[Rule] = [
     (r"_\s*_[\s_]*", " __ "), (r"\*\s*\*[\s*]*", " * "), ("#+", ""), ("!+", "!"), (r"!([^ ])", r"! $1"), (r"\.([^\s0-9.])", r". $1"),
     (r"\+([^0-9])", r"+ $1"), (r"([^0-9])\+", r"$1 +"), (r",([^0-9])", r", $1"), (r"(\s)-([^\s0-9-])", r"$1- $2"), (r"^ *-- *", ""), (" dlrs ", r" \$ "),

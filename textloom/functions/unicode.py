@@ -68,7 +68,9 @@ def process_unicode(c: Column, lang: str = "en", lower: bool = False, flatten: b
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: process_text(t, lang, False, flatten, normalize), na_action="ignore")
 
-    return run(c)
+    # nothing else can change: characters beyond ASCII, and in flattening what begins a rule of ASCII characters
+    changes = c.rlike(r"[^\x00-\x7F]" + (r"|['`{]|& | - years? - old" if flatten else ""))
+    return F.when(changes, run(F.when(changes, c))).otherwise(c)
 
 
 def nfkc(c: Column) -> Column:

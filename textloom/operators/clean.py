@@ -56,7 +56,7 @@ def filter_parallel(df: DataFrame, keep: Callable[[Column], Column], left: str =
     return df.where(F.coalesce(keep(F.col(left)), F.lit(False)) & F.coalesce(keep(F.col(right)), F.lit(False)))
 
 
-def kept_ratio(df: DataFrame, kept: DataFrame) -> DataFrame:
-    """``(kept, total, ratio)`` of a filter."""
-    a = kept.agg(F.count("*").alias("kept"))
-    return df.agg(F.count("*").alias("total")).join(a, F.lit(True)).select("kept", "total", (F.col("kept") / F.nullif(F.col("total"), F.lit(0))).alias("ratio"))
+def kept_ratio(df: DataFrame, kept: Column) -> DataFrame:
+    """``(kept, total, ratio)`` of a filter, in one scan; ratio is null for no rows."""
+    keep = F.count_if(F.coalesce(kept, F.lit(False)))
+    return df.agg(keep.alias("kept"), F.count("*").alias("total")).select("kept", "total", (F.col("kept") / F.nullif(F.col("total"), F.lit(0))).alias("ratio"))

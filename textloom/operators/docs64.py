@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.fields import parse_spec
 from textloom.session import settle
 
 
@@ -69,10 +70,15 @@ def docenc(df: DataFrame, stream: str = "stream", pos: str = "pos", line: str =
     return got.select(stream, "doc_no", encode(F.concat(F.array_join(F.transform("_l", lambda x: x[line]), "\n"), F.when(F.size("_l") > 0, "\n").otherwise(""))).alias("b64"))
 
 
-def docdec(df: DataFrame, b64: str = "b64", doc: str = "doc_no", number: bool = False, only: list[int] | None = None) -> DataFrame:
+def docdec(df: DataFrame, b64: str = "b64", doc: str = "doc_no", number: bool = False, only: list[int] | str | None = None) -> DataFrame:
     """``(doc_no, line_no, line)`` of decoded documents; ``number`` puts the 1-based document number and a tab before
-    each line; ``only`` keeps these 1-based documents."""
-    if only is not None:
+    each line; ``only`` keeps these 1-based documents, a list or ranges as ``"1,4-6,9-"``."""
+    if isinstance(only, str):
+        inside = F.lit(False)
+        for begin, end in parse_spec(only):
+            inside = inside | F.col(doc).between(begin, end - 1)
+        df = df.where(inside)
+    elif only is not None:
         df = df.where(F.col(doc).isin([i - 1 for i in set(only)]))
     lines = df.select(doc, F.posexplode(F.split(text(F.col(b64)), "\n", -1)).alias("line_no", "line"))
     return lines.withColumn("line", F.concat((F.col(doc) + 1).cast("string"), F.lit("\t"), F.col("line"))) if number else lines

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from textloom.session import settle
 
@@ -20,6 +21,10 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str], keep: list[s
     keep = keep if keep is not None else [c for c in df.columns if c not in keys and c not in order]
     if not df.columns:
         return df
+    if len(order) == 1 and not set(keep) - set(order) and isinstance(df.schema[order[0]].dataType, NumericType):
+        # numbers only in the buffer: a hash aggregation, without the sorts that a struct in it would need
+        at = F.when(~F.bool_or(F.col(order[0]).isNull()), F.min(order[0]))  # a null comes first, as in a struct
+        return df.groupBy(*keys).agg(at.alias("_at"), F.count("*").alias("_n")).select(*keys, F.col("_at").alias(order[0]), "_n")
     got = df.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in keep if c not in order])).alias("_f"), F.count("*").alias("_n"))
     return got.select(*keys, *[F.col(f"_f.{c}").alias(c) for c in dict.fromkeys([*order, *keep])], "_n")
 

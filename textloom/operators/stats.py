@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def idf(df: DataFrame, line: str = "line") -> DataFrame:
     """``(token, idf)``: ln N - ln df, where each line is a document and a token counts once in it. Blank and null
-    lines count in N. Rounded to nine places."""
+    lines count in N."""
     toks = F.array_distinct(F.filter(F.split(line, "[\\t-\\r ]+"), lambda x: x != ""))
     n = df.agg(F.count("*").alias("n"))
     counts = df.select(F.explode(toks).alias("token")).groupBy("token").agg(F.count("*").alias("k"))
-    return counts.join(F.broadcast(n)).select("token", F.round(F.log("n") - F.log("k"), 9).alias("idf"))
+    return counts.join(F.broadcast(n)).select("token", (F.log("n") - F.log("k")).alias("idf"))
 
 
 def case_counts(links: DataFrame) -> DataFrame:

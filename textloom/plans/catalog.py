@@ -13,7 +13,7 @@ from textloom.functions.unicode import process_unicode, unescape_html
 from textloom.operators import clean, dedupe, docs64, fold, pipe, shard, stats
 from textloom.operators.fields import selected_fields
 from textloom.plans.pipelines import newswire_extract, resplit, text_pipeline
-from textloom.session import scratch_dir, spread, table
+from textloom.session import scratch_dir, table
 from textloom.sources import newswire, warc
 from textloom.streaming import streams
 
@@ -36,11 +36,11 @@ def crawl(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "parallel_lines").select("pair_id", "line0", "line1"))
+    return table(spark, d, "parallel_lines").select("pair_id", "line0", "line1")
 
 
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
 # --- deduplication, sets, keyed state ---------------------------------------------------------------------------
@@ -167,8 +167,7 @@ def filter_parallel(spark, d):
 
 @query("SELECT count(*) FILTER (strlen(line) <= 120) AS kept, count(*) AS total, count(*) FILTER (strlen(line) <= 120) / count(*) AS ratio FROM crawl_lines")
 def kept_ratio(spark, d):
-    df = crawl(spark, d)
-    return clean.kept_ratio(df, df.where(clean.short_enough(F.col("line"), 120)))
+    return clean.kept_ratio(crawl(spark, d), clean.short_enough(F.col("line"), 120))
 
 
 # --- statistics, hashes, shards ---------------------------------------------------------------------------------
@@ -178,7 +177,7 @@ def kept_ratio(spark, d):
 n AS (SELECT count(*) AS n FROM crawl_lines)
 SELECT token, round(ln(n) - ln(count(*)), 9) AS idf FROM t, n WHERE token <> '' GROUP BY token, n""")
 def idf(spark, d):
-    return stats.idf(crawl(spark, d))
+    return stats.idf(crawl(spark, d)).withColumn("idf", F.round("idf", 9))
 
 
 @query()
@@ -313,15 +312,33 @@ def detokenized(spark, d):
 
 @query()
 def sentences_by_rule(spark, d):
-    return resplit(table(spark, d, "split_lines").select("line_id", "line"))
+    """Every paragraph by the rules of its language."""
+    df = table(spark, d, "split_lines").select("line_id", "lang", "line")
+    return resplit(df, lang_col="lang").drop("lang")
 
 
-_MODEL = ["The (9/9)", "council (9/9) Council (1)", "Gazette (5/6) gazette (1)"]
+_ENDS, _DELAYS = ("(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(ws)) + ")" for ws in (truecase.ENDS, truecase.DELAYS))
 
 
-@query()
+@query(f"""WITH s AS (SELECT pair_id, line0, list_filter(string_split_regex(line0, '[\t\n\v\f\r ]+'), lambda x: x <> '') AS l FROM parallel_lines),
+f AS (SELECT lower(form) AS low, form, count(*) AS n FROM (SELECT unnest(l[2:]) AS form FROM s) GROUP BY ALL),
+b AS (SELECT low, arg_min(form, (-n, form)) AS best, bool_or(form = low) AS known FROM f GROUP BY low),
+w AS (SELECT pair_id, i, lower(l[i]) AS word FROM (SELECT pair_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)),
+t AS (SELECT *, coalesce(last_value(CASE WHEN word NOT IN {_DELAYS} THEN word IN {_ENDS} END IGNORE NULLS) OVER (PARTITION BY pair_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS start FROM w),
+o AS (SELECT pair_id, string_agg(CASE WHEN word IN {_ENDS} OR word IN {_DELAYS} OR (b.known AND NOT start) THEN word ELSE coalesce(b.best, word) END, ' ' ORDER BY i) AS text FROM t LEFT JOIN b ON b.low = t.word GROUP BY pair_id)
+SELECT s.pair_id, CASE WHEN line0 IS NOT NULL THEN coalesce(text, '') END AS line0 FROM s LEFT JOIN o USING (pair_id)""")
 def truecased(spark, d):
-    return pairs(spark, d).select("pair_id", truecase.truecase(F.lower("line0"), truecase.load_model(_MODEL)).alias("line0"))
+    """Lines in lower case get their case back from a model of all lines."""
+    df = pairs(spark, d)
+    return df.select("pair_id", truecase.truecase(F.lower("line0"), truecase.train_model(df, "line0")).alias("line0"))
+
+
+@query("""SELECT line_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(
+  trim(regexp_replace(regexp_replace(line, '[\x00-\x1f]', '', 'g'), ' +', ' ', 'g'), ' '),
+  '&', '&amp;'), '|', '&#124;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&apos;'), '"', '&quot;'), '[', '&#91;'), ']', '&#93;'),
+  '&lt;([^ ]+) translation=&quot;(.+?)&quot;&gt; (.+?) &lt;/([^ ]+)&gt;', '<\1 translation="\2"> \3 </\4>', 'g') AS line FROM crawl_lines""")
+def escape_tidy(spark, d):
+    return crawl(spark, d).withColumn("line", rules.tidy_escape(F.col("line")))
 
 
 def aligned(spark, d) -> DataFrame:
@@ -396,12 +413,34 @@ def text_pipeline_query(spark, d):
     return doc_lines(spark, d).withColumn("line", text_pipeline(F.col("line")))
 
 
+#: Rows may come so late; keys and windows older than that leave the state.
+STREAM_DELAY = "90 days"
+
+
+@query("""SELECT strftime(loaded_at, '%Y-%m-%d') AS day, token, count(*) AS lines FROM
+(SELECT DISTINCT line_id, loaded_at, unnest(string_split_regex(line, '[\t-\r ]+')) AS token FROM crawl_lines WHERE loaded_at IS NOT NULL) WHERE token <> '' GROUP BY ALL""")
+def stream_token_counts(spark, d):
+    """Lines that hold each token by day of loading, from the crawl as a stream: each micro-batch writes the counts that
+    it changed, and the last state of each stands."""
+    schema = "line_id long, line string, loaded_at timestamp"
+    src = streams.read_line_stream(spark, f"{d}/crawl_lines.parquet*", schema)
+    out, mark = scratch_dir(spark, "counts-out"), scratch_dir(spark, "counts-mark")
+    counts = streams.token_counts_stream(src, delay=STREAM_DELAY)
+
+    def keep(batch: DataFrame, no: int) -> None:
+        batch.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "token", "lines").write.mode("overwrite").parquet(f"{out}/batch={no}")
+
+    counts.writeStream.outputMode("update").option("checkpointLocation", mark).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.schema("day string, token string, lines long, batch long").parquet(out)
+    return written.groupBy("day", "token").agg(F.max_by("lines", "batch").alias("lines"))
+
+
 @query("SELECT DISTINCT line FROM crawl_lines WHERE strlen(line) <= 2000")
 def stream_dedupe(spark, d):
     """The crawl as a stream of files: cleaned, then each line once."""
     schema = "line_id long, site string, file_no int, pos long, lang string, line string, fetched_at timestamp, loaded_at timestamp"
     src = streams.read_line_stream(spark, f"{d}/crawl_lines.parquet*", schema)
     out, mark = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-mark")
-    lines = streams.dedupe_stream(streams.clean_stream(src), delay="36500 days").select("line")
+    lines = streams.dedupe_stream(streams.clean_stream(src), delay=STREAM_DELAY).select("line")
     lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("line string").parquet(out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -31,25 +33,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files make fewer tasks than there are cores; larger inputs stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+#: Folders written by this process, to be removed by ``clear_scratch`` or at its end.
+_WRITTEN: list[str] = []
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether all tasks run in this process, so that they share its disk."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove all folders that this process wrote for results that are read several times.
+
+    DataFrames that still read them are of no use afterwards. It runs at the end of the process by itself.
+    """
+    n = len(_WRITTEN)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    while _WRITTEN:
+        at = path(_WRITTEN.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
+@atexit.register
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession() if _WRITTEN else None
+    try:
+        if spark is not None and not spark._jsc.sc().isStopped():
+            clear_scratch(spark)
+    except Exception:  # the session is gone; nothing left to ask
+        pass
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) a temporary folder of this machine is set as it.
+    Only where that setting is absent and all tasks run in this process (tests, local runs) a temporary folder of this
+    machine is set as it; on a cluster its executors could not read one another's folders, so RuntimeError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
+    if not base and not is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def settle(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -> DataFrame:

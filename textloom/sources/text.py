@@ -35,9 +35,9 @@ def lines_of(data: bytes) -> list[bytes]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line)`` of text files that Spark can split (plain, .gz, .bz2), without carriage returns."""
+    """``(path, line)`` of text files that Spark can split (plain, .gz, .bz2), without the carriage return before a line end."""
     df = spark.read.option("lineSep", "\n").text(path)
-    return df.select(F.input_file_name().alias("path"), F.regexp_replace("value", "\\r$", "").alias("line"))
+    return df.select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
