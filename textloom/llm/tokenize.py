@@ -9,11 +9,12 @@ bytes use a heap over linked parts, so that a very long unbroken text takes n lo
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
-from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +31,13 @@ REMEMBERED = 300_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@lru_cache(maxsize=4)
+def parse_ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (ln.split() for ln in content.splitlines() if ln.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (ln.split() for ln in f if ln.strip())}
+        return parse_ranks(f.read())
 
 
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -86,10 +90,8 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Ids of texts by one vocabulary. Strings that look like special tokens are ordinary text."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
-        import regex
-
-        self.ranks, self.words, self.known = load_ranks(path), regex.compile(pattern).findall, {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
+        self.ranks, self.words, self.known = ranks, regex.compile(pattern).findall, {}
 
     def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "replace")
@@ -113,19 +115,27 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process."""
-    return Encoder(path)
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def token_ids(col: str, path: str | None = None):
-    """Column of token ids; null and empty texts have the empty list."""
-    at = path or f"{TOKENIZERS}/{VOCABULARY}"
+    """Column of token ids; null and empty texts have the empty list.
+
+    The vocabulary is read by the driver, which fails at once if it is missing or broken, and goes once to every worker.
+    """
+    with open(path or f"{TOKENIZERS}/{VOCABULARY}", "rb") as f:
+        content = f.read()
+    if len(parse_ranks(content)) < 256:
+        raise ValueError("a byte-level vocabulary has an entry for every byte")
+    name = hashlib.sha256(content).hexdigest()
+    held = SparkSession.getActiveSession().sparkContext.broadcast(content)
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        enc = encoder(at)
+        if name not in _ENCODERS:  # one encoder in each worker process
+            _ENCODERS.clear()
+            _ENCODERS[name] = Encoder(parse_ranks(held.value))
+        enc = _ENCODERS[name]
         offsets, flat = [0], []
         for t in texts:
             flat += enc.encode(t.as_py())
