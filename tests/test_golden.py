@@ -183,3 +183,25 @@ def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
 
 def test_entry_lists_queries():
     assert {"truecased", "escape_tidy", "stream_token_counts"} <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_archives_through_a_program(spark):
+    docs = [(i, f"text {i}".encode()) for i in range(30)]
+    df = spark.createDataFrame([("", i, "WARC/1.0", {"warc-type": "x", "content-length": str(len(p))}, bytearray(p)) for i, p in docs], W.SCHEMA)
+    got = W.pipe_warc(df, ["sed", "s/text/TEXT/"], 3).collect()
+    assert sorted(bytes(r.payload) for r in got) == sorted(p.replace(b"text", b"TEXT") for _, p in docs)
+    with pytest.raises(Exception, match="status"):
+        W.pipe_warc(df, ["false"]).collect()
+    assert W.pipe_warc(df.where("record_no < 0"), ["cat"]).count() == 0
+
+
+def test_running_sums_of_a_long_group(spark):
+    from textloom.operators.keyed import running_sum
+
+    df = spark.range(4000).selectExpr("if(id % 3 = 0, 'a', if(id % 50 = 1, null, 'b')) as g", "id as pos", "cast(id % 7 = 0 as int) as v")
+    got = {r.pos: r.n for r in running_sum(df, "g", "pos", F.col("v"), "n").collect()}
+    sums: dict = {}
+    for r in df.orderBy("pos").collect():
+        sums[r.g] = sums.get(r.g, 0) + r.v
+        assert got[r.pos] == sums[r.g]
+    assert len(got) == 4000

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.fields import parse_spec
+from textloom.operators.keyed import running_sum
 from textloom.session import settle
 
 
@@ -60,10 +61,9 @@ def map_lines(df: DataFrame, f: Callable[[DataFrame], DataFrame], b64: str = "b6
 
 def docenc(df: DataFrame, stream: str = "stream", pos: str = "pos", line: str = "line") -> DataFrame:
     """``(stream, doc_no, b64)``: documents between blank lines of each stream; blank lines in a row make empty ones,
-    a blank or missing end makes none. Streams are split over tasks; one stream is one ordered scan."""
-    w = Window.partitionBy(stream).orderBy(pos)
+    a blank or missing end makes none. A long stream is split over tasks; only a document has to fit into one."""
     blank = (F.coalesce(F.col(line), F.lit("")) == "").cast("int")
-    numbered = df.withColumn("_b", blank).withColumn("doc_no", F.sum("_b").over(w) - F.col("_b"))
+    numbered = running_sum(df.withColumn("_b", blank), stream, pos, F.col("_b"), "_n").withColumn("doc_no", F.col("_n") - F.col("_b"))
     got = numbered.groupBy(stream, "doc_no").agg(
         F.array_sort(F.collect_list(F.when(F.col("_b") == 0, F.struct(pos, line)))).alias("_l")
     )

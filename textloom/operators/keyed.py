@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -53,6 +53,22 @@ def lookup(df: DataFrame, firsts: DataFrame, keys: list[str], value: str) -> Dat
     return from_hot.unionByName(from_rest)
 
 
+def running_sum(df: DataFrame, group: str, order: str, value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the group before each row, in order, and the row itself.
+
+    Range partitions of group and order, so that a group that holds a third of all rows is many tasks: each sums its own
+    rows, and the sums of the partitions before it, at most one row for each partition and group in it, are added.
+    """
+    ranged = df.withColumn("_v", value).repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("_p", F.spark_partition_id())
+    ranged = settle(ranged, "ranged")
+    parts = ranged.groupBy(group, "_p").agg(F.sum("_v").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), before.alias("_o"))
+    inside = F.sum("_v").over(Window.partitionBy(group, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    got = ranged.withColumn("_i", inside).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return got.withColumn(name, F.col("_i") + F.col("_o")).drop("_v", "_p", "_i", "_g", "_q", "_o")
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """Dense numbers in the order of ``order``, by range partitions and their counts instead of one global window."""
     spark = df.sparkSession
@@ -64,8 +80,6 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 0)
         at += counts[p]
     if not rows:
         return df.withColumn(name, F.lit(None).cast("long"))
-    from pyspark.sql import Window
-
     offsets = F.broadcast(spark.createDataFrame(rows, "_p int, _o long"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return ranged.withColumn("_r", inside).join(offsets, "_p").withColumn(name, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")

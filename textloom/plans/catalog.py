@@ -15,6 +15,7 @@ from textloom.operators.fields import selected_fields
 from textloom.plans.pipelines import newswire_extract, resplit, text_pipeline
 from textloom.session import scratch_dir, table
 from textloom.sources import newswire, warc
+from textloom.sources.text import decompress
 from textloom.streaming import streams
 
 QUERIES: dict = {}
@@ -388,7 +389,7 @@ def warc_round_trip(spark, d):
 
     @F.pandas_udf("binary")
     def body(s):
-        return s.map(lambda raw: next(warc.parse(warc.decompress(bytes(raw))))[2])
+        return s.map(lambda raw: next(warc.parse(decompress(bytes(raw))))[2])
 
     return warc.as_bytes(docs, compress=True).select("record_no", body("record").cast("string").alias("text"))
 

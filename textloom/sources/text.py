@@ -6,9 +6,13 @@ import bz2
 import gzip
 import io
 import lzma
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
+from urllib.parse import unquote
 
 import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +44,59 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
 
 
+def open_stream(path: str) -> BinaryIO:
+    """A file's plain bytes as a stream, decompressed as it is read; the path may name any file system that Arrow knows."""
+    name = unquote(path) if path.startswith("file:") else path
+    name = re.sub("^file:/*", "/", name)
+    fs, at = (LocalFileSystem(), name) if name.startswith("/") else FileSystem.from_uri(path)
+    with fs.open_input_stream(at, compression=None) as f:
+        head = f.read(8)
+    raw = io.BufferedReader(fs.open_input_file(at), 1 << 20)
+    kind = next((k for magic, k in MAGIC.items() if head.startswith(magic)), None)
+    return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](raw) if kind else raw
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """``(path)`` of all files, a task for each of the largest; their contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    return files.repartitionByRange(F.col("length").desc(), "path").select("path")
+
+
+def batched(rows: Iterator[tuple], columns: list[str], size: Callable[[tuple], int], limit: int = 8 << 20) -> Iterator[pd.DataFrame]:
+    """Rows as frames of about ``limit`` bytes each."""
+    block, held = [], 0
+    for r in rows:
+        block.append(r)
+        held += size(r) + 64
+        if held > limit:
+            yield pd.DataFrame(block, columns=columns)
+            block, held = [], 0
+    if block:
+        yield pd.DataFrame(block, columns=columns)
+
+
+def stream_lines(f: BinaryIO) -> Iterator[bytes]:
+    """The lines of ``lines_of``, one at a time."""
+    for raw in f:
+        if raw.endswith(b"\n"):
+            yield raw[:-2] if raw.endswith(b"\r\n") else raw[:-1]
+        else:
+            yield raw
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, pos, line)`` of files whose compression is told by their content; one task reads a file."""
+    """``(path, pos, line)`` of files whose compression is told by their content; a task reads a file line by line."""
+
+    def rows(p: str) -> Iterator[tuple]:
+        with open_stream(p) as f:
+            yield from ((p, i, x.decode("utf-8", "replace")) for i, x in enumerate(stream_lines(f)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, content in zip(b.path, b.content):
-                got = lines_of(decompress(content))
-                yield pd.DataFrame({"path": p, "pos": range(len(got)), "line": [x.decode("utf-8", "replace") for x in got]})
+            for p in b.path:
+                yield from batched(rows(p), ["path", "pos", "line"], lambda r: 2 * len(r[2]))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pos long, line string")
+    return files_of(spark, path).mapInPandas(run, "path string, pos long, line string")
 
 
 def write_lines(df: DataFrame, path: str, line: str = "line", compression: str = "none") -> None:
