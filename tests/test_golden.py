@@ -205,3 +205,48 @@ def test_running_sums_of_a_long_group(spark):
         sums[r.g] = sums.get(r.g, 0) + r.v
         assert got[r.pos] == sums[r.g]
     assert len(got) == 4000
+
+
+def test_file_hashes(spark, tmp_path):
+    from textloom.functions.hashing import file_hashes, murmur64
+
+    (tmp_path / "a").write_bytes(b"x" * (1 << 20) + b"tail")
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"y"))
+    got = {r.path.rsplit("/", 1)[1]: r.hash for r in file_hashes(spark, str(tmp_path)).collect()}
+    first = int(murmur64([b"x" * (1 << 20)])[0])
+    assert got["a"] == f"{int(murmur64([b'tail'], first)[0]):x}"
+    assert got["b.gz"] == f"{int(murmur64([(tmp_path / 'b.gz').read_bytes()])[0]):x}"
+
+
+def test_documents_between_nuls(spark):
+    df = spark.createDataFrame([("s", "a\nb\0\0c"), ("t", ""), ("u", "x\0"), ("v", None)], "stream string, content string")
+    docs = docs64.split_documents(df)
+    got = [(r.stream, r.doc_no, r.t) for r in docs.select("stream", "doc_no", docs64.text(F.col("b64")).alias("t")).orderBy("stream", "doc_no").collect()]
+    assert got == [("s", 0, "a\nb"), ("s", 1, ""), ("s", 2, "c"), ("u", 0, "x")]
+    assert docs64.join_documents(docs, nul=True).where("stream = 's'").orderBy("doc_no").first().document == "a\nb\0"
+    assert [tuple(r) for r in docs64.counts(docs, delimiter="\n").orderBy("stream").collect()] == [("s", 3, 1), ("u", 1, 0)]
+
+
+def test_commands_fail_loudly(spark):
+    from textloom.operators.pipe import pipe_lines
+
+    df = spark.range(5000).selectExpr("id", "concat('l', id) as line")
+    assert pipe_lines(df, ["sed", "s/l/L/"]).where("line <> concat('L', id)").count() == 0
+    for argv, word in ((["head", "-n", "3"], "wrote"), (["sed", "p"], "wrote"), (["false"], "status|wrote")):
+        with pytest.raises(Exception, match=word):
+            pipe_lines(df, argv).collect()
+    assert pipe_lines(df.where("id < 0"), ["cat"]).count() == 0
+    got = dedupe.memoize(spark.createDataFrame([(1, "a x"), (2, "a y"), (3, None)], "pos long, line string"), ["tr", "a-z", "A-Z"], spec="1", delim=" ")
+    assert sorted((r.pos, r.mapped) for r in got.collect()) == [(1, "A X"), (2, "A X"), (3, None)]
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    df = spark.range(2000).selectExpr("id as pos", "concat(id % 7, '\t', id) as line")
+    shard.write_shards(df, str(tmp_path / "s"), 3, spec="1")
+    seen = 0
+    for i in range(3):
+        folder = tmp_path / "s" / f"shard={i}"
+        lines = [x for f in sorted(folder.glob("part-*")) for x in f.read_text().splitlines()] if folder.exists() else []
+        assert [int(x.split("\t")[1]) for x in lines] == sorted(int(x.split("\t")[1]) for x in lines)
+        seen += len(lines)
+    assert seen == 2000

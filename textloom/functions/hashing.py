@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import BinaryIO
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.text import files_of, open_stream
+
 # Multiplier and shift of the 64-bit Murmur2 variant.
 _M, _R = np.uint64(0xC6A4A7935BD1E995), np.uint64(47)
 
@@ -68,9 +73,23 @@ def corpus_hash(df: DataFrame, line: str = "line") -> DataFrame:
     return df.select(h.alias("_h")).where("_h is not null").agg(total.cast("decimal(20,0)").alias("hash"))
 
 
-def stream_hash(data: bytes, block: int = 1 << 20, seed: int = 0) -> int:
+def stream_hash(f: BinaryIO, block: int = 1 << 20, seed: int = 0) -> int:
     """Hash of a whole stream, its blocks chained; depends on the order and the block size."""
     h = seed
-    for i in range(0, len(data), block):
-        h = int(murmur64([data[i : i + block]], h)[0])
+    while data := f.read(block):
+        h = int(murmur64([data], h)[0])
     return h
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, hash)``: the stream hash of each file's bytes in hexadecimal, a block in memory at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hashes = []
+            for p in b.path:
+                with open_stream(p, plain=False) as f:
+                    hashes.append(f"{stream_hash(f):x}")
+            yield pd.DataFrame({"path": b.path, "hash": hashes})
+
+    return files_of(spark, path).mapInPandas(run, "path string, hash string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.fields import range_key
 from textloom.operators.keyed import first_per_key, lookup, numbered
+from textloom.operators.pipe import pipe_lines
 
 SPACES = "\t\n\u000b\u000c\r "
 #: Fixed value: lines that begin so are markers of a crawl, no text.
@@ -56,11 +57,15 @@ def subtract_lines(df: DataFrame, remove: DataFrame, line: str = "line") -> Data
     return df.join(gone, F.col(line) == F.col("_gone"), "left_anti")
 
 
-def memoize(df: DataFrame, f: Callable[[Column], Column], line: str = "line", order: list[str] | None = None, spec: str = "-", delim: str = "\t", out: str = "mapped") -> DataFrame:
-    """Every row gets ``f`` of the first line that has its key; ``f`` runs once for each key. Null lines share a key."""
+def memoize(df: DataFrame, f: Callable[[Column], Column] | list[str], line: str = "line", order: list[str] | None = None, spec: str = "-", delim: str = "\t", out: str = "mapped") -> DataFrame:
+    """Every row gets ``f`` of the first line that has its key; ``f`` runs once for each key. Null lines share a key.
+
+    ``f`` is a function of columns or the words of a command that writes a line for each line it reads.
+    """
     order = order or ["pos"]
     keyed = df.withColumn("_key", range_key(F.col(line), "1-" if spec == "-" else spec, delim))
-    firsts = first_per_key(keyed, ["_key"], order, [line]).withColumn(out, f(F.col(line)))
+    firsts = first_per_key(keyed, ["_key"], order, [line])
+    firsts = pipe_lines(firsts, f, line, out) if isinstance(f, list) else firsts.withColumn(out, f(F.col(line)))
     return lookup(keyed, firsts, ["_key"], out).drop("_key")
 
 

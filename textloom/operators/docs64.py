@@ -59,6 +59,25 @@ def map_lines(df: DataFrame, f: Callable[[DataFrame], DataFrame], b64: str = "b6
     return got.select(doc, F.when(F.col(b64).isNotNull(), out).alias(b64))
 
 
+def counts(docs: DataFrame, b64: str = "b64", stream: str = "stream", delimiter: str = "\n\n") -> DataFrame:
+    """``(stream, documents, with_delimiter)``: the documents of each stream, and those that hold the delimiter that is to
+    stand between them, which could not be told apart again."""
+    held = F.count_if(F.coalesce(text(F.col(b64)).contains(delimiter), F.lit(False)))
+    return docs.groupBy(stream).agg(F.count("*").alias("documents"), held.alias("with_delimiter"))
+
+
+def join_documents(docs: DataFrame, b64: str = "b64", nul: bool = False) -> DataFrame:
+    """``docs`` with ``document``: the decoded text and the delimiter after it, a line feed or NUL."""
+    return docs.withColumn("document", F.concat(text(F.col(b64)), F.lit("\0" if nul else "\n")))
+
+
+def split_documents(df: DataFrame, content: str = "content", stream: str = "stream") -> DataFrame:
+    """``(stream, doc_no, b64)``: documents between NUL characters of each stream's content; an empty end makes none."""
+    parts = F.split(content, "\0", -1)
+    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return df.select(stream, F.posexplode(parts).alias("doc_no", "_t")).select(stream, F.col("doc_no").cast("long"), encode(F.col("_t")).alias("b64"))
+
+
 def docenc(df: DataFrame, stream: str = "stream", pos: str = "pos", line: str = "line") -> DataFrame:
     """``(stream, doc_no, b64)``: documents between blank lines of each stream; blank lines in a row make empty ones,
     a blank or missing end makes none. A long stream is split over tasks; only a document has to fit into one."""

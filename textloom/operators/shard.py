@@ -28,6 +28,7 @@ def shard_names(prefix: str, n: int) -> list[str]:
 
 
 def write_shards(df: DataFrame, path: str, n: int, line: str = "line", order: list[str] | None = None, spec: str = "1-", delim: str = "\t", compression: str = "none") -> None:
-    """Text files below ``path/shard=<i>``, lines in order inside each file."""
+    """Text files below ``path/shard=<i>``, in the order of their names and with lines in order inside each; a large shard
+    is several files, so that no task holds it all."""
     out = df.withColumn("shard", shard_number(F.col(line), n, spec, delim))
-    out.repartition("shard").sortWithinPartitions("shard", *(order or ["pos"])).select("shard", line).write.partitionBy("shard").option("compression", compression).mode("overwrite").text(path)
+    out.repartitionByRange("shard", *(order or ["pos"])).sortWithinPartitions("shard", *(order or ["pos"])).select("shard", line).write.partitionBy("shard").option("compression", compression).mode("overwrite").text(path)

@@ -374,10 +374,23 @@ def fold_round_trip(spark, d):
     return fold.fold_map(table(spark, d, "fold_items").select("item_id", "line"), lambda x: x, "item_id", skip=True, width=20)
 
 
-@query("SELECT line_id, line FROM crawl_lines")
+@query("SELECT line_id, translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS line FROM crawl_lines")
 def piped(spark, d):
-    """Lines through an external program that gives them back; inner line ends would break the count, so they are none."""
-    return pipe.pipe_lines(crawl(spark, d), ["cat"])
+    """Lines through an external program; inner line ends would break the count, so they are none."""
+    return pipe.pipe_lines(crawl(spark, d), ["tr", "a-z", "A-Z"])
+
+
+@query(f"""WITH k AS ({_KEY1}), m AS (SELECT none, k, min(line_id) AS id FROM k GROUP BY none, k)
+SELECT k.line_id, k.line, translate(l.line, 'aeiou', 'AEIOU') AS mapped FROM k JOIN m ON k.none = m.none AND k.k IS NOT DISTINCT FROM m.k JOIN crawl_lines l ON l.line_id = m.id""")
+def cache_command(spark, d):
+    """A command that is asked once for each first field of a line."""
+    return dedupe.memoize(crawl(spark, d), ["tr", "aeiou", "AEIOU"], order=["line_id"], spec="1", delim=" ")
+
+
+@query("""SELECT stream, count(DISTINCT doc_no) AS documents, 0::BIGINT AS with_delimiter FROM
+(SELECT site AS stream, sum((coalesce(line, '') = '')::INT) OVER (PARTITION BY site ORDER BY line_id) - (coalesce(line, '') = '')::INT AS doc_no FROM crawl_lines) GROUP BY stream""")
+def document_counts(spark, d):
+    return docs64.counts(docenc(spark, d))
 
 
 # --- sources and pipelines --------------------------------------------------------------------------------------
@@ -399,7 +412,21 @@ def newswire_lines(spark, d) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("stream"), F.posexplode(tagged).alias("pos", "line"))
 
 
-@query()
+def _newswire_sql() -> str:
+    """Blocks of the documents, each of which is one; none of them closes itself or holds a line that opens one."""
+    c = "x"
+    for mark, sign in {**dict.fromkeys(newswire.MARKS, ""), **newswire.SIGNS}.items():
+        c = f"replace({c}, '{mark}', '{sign}')"
+    c = f"replace(replace(regexp_replace({c}, '\\(BC-[^)]*\\)', '', 'g'), '``', '\"'), chr(39) || chr(39), '\"')"
+    for name, sign in (("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'"), ("apos", "chr(39)"), ("quot", "chr(34)")):
+        c = f"regexp_replace({c}, '&{name};', {sign}, 'gi')"
+    return f"""WITH l AS (SELECT doc_id AS stream, list_transform(list_filter(string_split(replace(text, chr(13), ''), chr(10)), lambda x: NOT (x LIKE '<%' AND x LIKE '%>')), lambda x: {c}) AS c
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT stream, c, array_to_string(list_transform(c, lambda x, i: CASE WHEN i > 1 AND c[i - 1] = x THEN '' ELSE x END || CASE WHEN x <> '' AND NOT ends_with(x, '-') THEN ' ' ELSE '' END), '') AS text FROM l)
+SELECT stream, 0 AS block_no, text FROM t WHERE len(list_filter(c, lambda x: x <> '')) > 0"""
+
+
+@query(_newswire_sql())
 def newswire_blocks(spark, d):
     return newswire.unwrap(newswire_lines(spark, d))
 

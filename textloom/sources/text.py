@@ -44,8 +44,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.input_file_name().alias("path"), F.regexp_replace("value", r"\r\z", "").alias("line"))
 
 
-def open_stream(path: str) -> BinaryIO:
-    """A file's plain bytes as a stream, decompressed as it is read; the path may name any file system that Arrow knows."""
+def open_stream(path: str, plain: bool = True) -> BinaryIO:
+    """A file's bytes as a stream, if ``plain`` decompressed as it is read; the path may name any file system that Arrow knows."""
     name = unquote(path) if path.startswith("file:") else path
     name = re.sub("^file:/*", "/", name)
     fs, at = (LocalFileSystem(), name) if name.startswith("/") else FileSystem.from_uri(path)
@@ -53,7 +53,7 @@ def open_stream(path: str) -> BinaryIO:
         head = f.read(8)
     raw = io.BufferedReader(fs.open_input_file(at), 1 << 20)
     kind = next((k for magic, k in MAGIC.items() if head.startswith(magic)), None)
-    return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](raw) if kind else raw
+    return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](raw) if kind and plain else raw
 
 
 def files_of(spark: SparkSession, path: str) -> DataFrame:
