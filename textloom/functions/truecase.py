@@ -82,7 +82,7 @@ def truecase(c: Column, model: dict[str, tuple[str, bool]]) -> Column:
     """Lines with each word in its best case. The model goes once to every worker, so its size is checked."""
     if len(model) > BROADCAST_ROWS:
         raise ValueError(f"a case model of {len(model)} forms is over the bound of {BROADCAST_ROWS}")
-    held = SparkSession.getActiveSession().sparkContext.broadcast(model)
+    held = SparkSession.builder.getOrCreate().sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
