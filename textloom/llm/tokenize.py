@@ -128,7 +128,7 @@ def token_ids(col: str, path: str | None = None):
     if len(parse_ranks(content)) < 256:
         raise ValueError("a byte-level vocabulary has an entry for every byte")
     name = hashlib.sha256(content).hexdigest()
-    held = SparkSession.getActiveSession().sparkContext.broadcast(content)
+    held = SparkSession.builder.getOrCreate().sparkContext.broadcast(content)
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
