@@ -287,7 +287,15 @@ def unicode_normalized(spark, d):
     return table(spark, d, "unicode_text").select("text_id", process_unicode(F.col("normalize"), normalize=True).alias("normalize"), process_unicode(F.col("flatten"), "en", flatten=True).alias("flatten"))
 
 
-@query()
+# What the numbers 128 to 159 stand for in HTML.
+_HTML_128 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+_NUMBER = f"CASE WHEN {{0}} BETWEEN 128 AND 159 THEN substring('{_HTML_128}', {{0}} - 127, 1) ELSE chr({{0}}) END"
+
+
+@query(f"""SELECT line_id, replace(array_to_string(list_transform(regexp_extract_all(line, '&#?\\w+;|&|[^&]+'), lambda t:
+  CASE WHEN regexp_matches(t, '^&#[0-9]+;$') THEN {_NUMBER.format("t[3:-2]::INT")} WHEN regexp_matches(t, '^&#[xX][0-9a-fA-F]+;$') THEN {_NUMBER.format("('0x' || t[4:-2])::INT")}
+  ELSE CASE t WHEN '&quot;' THEN '"' WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&apos;' THEN chr(39) WHEN '&nbsp;' THEN chr(160) WHEN '&eacute;' THEN 'é' ELSE t END END), ''), chr(65279), ' ') AS line
+FROM crawl_lines""")
 def html_unescaped(spark, d):
     return crawl(spark, d).withColumn("line", unescape_html(F.col("line")))
 
@@ -364,7 +372,25 @@ def apply_case(spark, d):
     return truecase.apply_case(df, truecase.train_case(df))
 
 
-@query()
+_FOLD_SQL = """WITH RECURSIVE b AS (
+  SELECT item_id, line, length(line) AS n, list_transform(range(1, length(line) + 1), lambda i: substring(line, i, 1)) AS c,
+    list_transform(range(0, length(line) + 1), lambda i: strlen(left(line, i))) AS e
+  FROM fold_items WHERE line IS NOT NULL),
+d AS (SELECT *, list_transform(c, lambda x: contains(':, -./', x)) AS dl FROM b),
+f AS (SELECT *, list_transform(range(1, n + 2), lambda i: CASE WHEN i <= n AND dl[i] THEN i + length(regexp_extract(substring(line, i), '^[-:, ./]+')) ELSE i END) AS stop,
+    list_transform(range(1, n + 1), lambda i: CASE WHEN dl[i] THEN i - length(regexp_extract(left(line, i), '[-:, ./]+$')) + 1 ELSE i END) AS start FROM d),
+r AS (
+  SELECT item_id, 0 AS k, 1 AS s, NULL::VARCHAR AS piece FROM f
+  UNION ALL
+  SELECT item_id, k + 1, CASE WHEN reach IS NULL THEN n + 2 ELSE after END, substring(line, s, CASE WHEN reach IS NULL THEN n + 1 ELSE after END - s) FROM (
+    SELECT *, greatest(cut, least(stop[cut], reach)) AS after FROM (
+      SELECT *, coalesce(list_filter(list_transform(string_split(':|,| |-|.|/', '|'), lambda x: start[list_max(list_filter(range(s, reach), lambda i: c[i] = x))]), lambda a: a > s)[1], reach) AS cut FROM (
+        SELECT f.*, r.k, r.s, list_min(list_filter(range(r.s + 1, n + 2), lambda i: e[i] >= e[r.s] + 80)) AS reach FROM r JOIN f USING (item_id) WHERE r.s <= n OR (n = 0 AND r.s = 1))))
+)
+SELECT item_id, (k - 1)::INT AS piece_no, piece FROM r WHERE k > 0"""
+
+
+@query(_FOLD_SQL)
 def folded(spark, d):
     return table(spark, d, "fold_items").select("item_id", F.posexplode(fold.fold(F.col("line")).getField("pieces")).alias("piece_no", "piece"))
 
