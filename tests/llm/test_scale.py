@@ -99,3 +99,62 @@ def test_texts_are_read_once(spark):
     seen = T.with_endings(df)
     assert "documents.parquet" not in seen._jdf.queryExecution().executedPlan().toString()
     assert not set(r.ending for r in seen.collect()) - set(T.ENDINGS)
+
+
+def test_encoding_model_comes_from_all_lines(spark):
+    from textloom.llm import mojibake
+
+    lines = [f"line {i} of the text" for i in range(30_000)] + [f"once q{chr(97 + i // 6)}{chr(97 + i % 6)}z" for i in range(36)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(-1, lines[0]), (-2, None), (-3, " ")], "line_id long, line string")
+    model, margin, odd = mojibake.learn(df)
+    every = mojibake.TrigramModel.of(mojibake.counted(lines))
+    assert model.ids3.tolist() == every.ids3.tolist() and model.ids2.tolist() == every.ids2.tolist()
+    weight = mojibake.MASS_LINES / len(lines)  # all count, as much as so many lines
+    assert np.allclose(model.n3, every.n3 * weight, rtol=1e-5) and np.isclose(model.n, every.n * weight)
+    assert margin == mojibake.FEW_MARGIN and odd == mojibake.FIRST_ODD
+
+
+def test_encoding_model_of_a_table_is_that_of_its_lines(spark):
+    from textloom import session
+    from textloom.llm import mojibake
+
+    df = spark.read.parquet(f"{SF}/crawl_lines.parquet").select("line_id", "line")
+    model, margin, odd = mojibake.learn(df.repartition(5))
+    same, least, strange, _ = mojibake.train([r.line for r in df.collect() if r.line is not None])
+    assert (margin, odd) == (least, strange) and (model.ids3 == same.ids3).all() and (model.n3 == same.n3).all() and (model.c1 == same.c1).all()
+    assert not [at for at in session._WRITTEN if "/p1-" in at]
+
+
+def test_quantiles_are_exact(spark):
+    from textloom.llm import mojibake
+
+    v = np.append(np.random.default_rng(1).normal(size=3000).round(2), [1e9, -1e9, 0.0])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3)
+    for q in (0.0, 0.01, 0.5, 0.999, 1.0):
+        assert np.isclose(mojibake.quantile(df, "v", q, len(v), held=7), np.quantile(v, q), rtol=1e-12)
+
+
+def test_garbled_words_that_come_often_are_not_learned():
+    import random
+
+    from textloom.llm import mojibake
+
+    rng = random.Random(1)
+    words = "la biblioteca guardó el índice de pueblos pequeños según las normas después niño año über größe straße schön für müde".split()
+    clean = [" ".join(rng.choices(words, k=9)).capitalize() + "." for _ in range(2000)]
+    bad = [x.replace("niño", "niÃ±o") for x in clean[:400] if "niño" in x and not x.replace("niño", "").isascii()]
+    model, margin, odd, _ = mojibake.train(clean[400:] + bad)
+    assert len(bad) > 100 and (mojibake.best(bad, model, odd)[1] > margin).mean() > 0.99
+    assert not (mojibake.best(clean[400:800], model, odd)[1] > margin).any()
+
+
+def test_garbled_lines_gain_at_least_what_they_were(spark):
+    from textloom.llm import mojibake
+
+    df = spark.read.parquet(f"{SF}/crawl_lines.parquet")
+    lines = [r.line for r in df.collect() if r.line and not r.line.isascii() and not mojibake.plainly_garbled(r.line)]
+    every = mojibake.TrigramModel.of(mojibake.counted(lines))
+    bad, _, fold, odd, least = mojibake.crossed_garbled(lines, [every] * mojibake.FOLDS)
+    gain = mojibake.crossed(bad, [every] * mojibake.FOLDS, fold, mojibake.FIRST_ODD)[1]
+    tried = odd < mojibake.FIRST_ODD
+    assert tried.sum() > 300 and (gain[tried] >= least[tried] - 1e-6).all() and (least > 0).mean() > 0.9

@@ -55,6 +55,14 @@ def clear_scratch(spark: SparkSession) -> int:
     return n
 
 
+def discard(df: DataFrame) -> None:
+    """Remove now what ``settle`` wrote for ``df``, which nothing will read again."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.remove(df.settled_at)
+
+
 @atexit.register
 def _at_end() -> None:
     spark = SparkSession.getActiveSession() if _WRITTEN else None
@@ -92,4 +100,6 @@ def settle(df: DataFrame, purpose: str, partition_by: list[str] | None = None) -
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
